@@ -6,6 +6,7 @@ import importlib
 
 #: query name -> module that has it
 QUERIES = {
+    "op2_toxicity": "toxicity",
     "op9_quality_rules": "quality_rules",
 }
 
