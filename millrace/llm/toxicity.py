@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -39,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import settle, table
 
 #: A token is a run of letters, lower-cased.
 TOKEN = re.compile(r"[^\W\d_]+")
@@ -175,7 +176,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, fl
     return float(w[0]), float(w[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = 8000, max_terms: int = 50_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, max_terms: int = 50_000) -> Model:
     """Fit on at most ``max_docs`` labelled documents of each class, the ones of least id hash.
 
     ``labels`` has doc_id and toxic. The bound makes what is collected, the
@@ -193,20 +194,28 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 8000, max_terms: i
         return Model()
     spark = docs.sparkSession
     chosen = spark.createDataFrame([(k, v) for k, v in ids.items()], "doc_id long, toxic int")
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")  # at most 2 * max_docs small rows
-    split = F.pandas_udf(lambda s: s.map(tokens), T.ArrayType(T.StringType()))
-    seen = rows.select("toxic", split("text").alias("ws")).where(F.size("ws") > 0)
-    alike = seen.withColumn("copy", F.array_min(F.transform("ws", lambda w: F.xxhash64(w))))
-    once = alike.select("toxic", "copy", F.explode("ws").alias("w")).distinct()
-    counted = once.groupBy("w").agg(F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") == 0).alias("c"))
+    # settled, else the filters below are pushed under the join and all texts are split; at most 2 * max_docs rows
+    rows = settle(docs.join(F.broadcast(chosen), "doc_id").select("toxic", "text"), "toxic-sample")
+
+    def split(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in parts:
+            for y, text in zip(df["toxic"], df["text"], strict=True):
+                ws = tokens(text)
+                if ws:
+                    copy = min(zlib.crc32(w.encode()) for w in ws)
+                    yield pd.DataFrame({"toxic": y, "copy": copy, "w": ws})
+
+    once = rows.mapInPandas(split, "toxic int, copy long, w string").distinct()
+    counted = settle(once.groupBy("w").agg(F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") == 0).alias("c")).where("t >= 3"), "toxic-counts")
+    alike = rows.mapInPandas(lambda parts: (x[["toxic", "copy"]].head(1) for x in split(parts)), "toxic int, copy long")
     of = {r["toxic"]: r["n"] for r in alike.groupBy("toxic").agg(F.count_distinct("copy").alias("n")).collect()}
     nt, nc = of.get(1, 0), of.get(0, 0)
     if not nt or not nc:
         return Model()
     # tokens over-represented among toxic documents; their number is bounded by the training bound
-    over = counted.where((F.col("t") >= 3) & (F.col("t") * F.lit(nc) > 2 * F.col("c") * F.lit(nt)))
+    over = counted.where((F.col("t") * F.lit(nc) > 2 * F.col("c") * F.lit(nt)))
     hot = over.orderBy(F.desc("t"), "w").limit(4 * max_terms).collect()
-    tried = counted.where(F.col("t") >= 3).count()
+    tried = counted.count()
     model = Model(weights=log_odds([(r["w"], r["t"], r["c"]) for r in hot], nt, nc, tried, max_terms=max_terms))
     if not model.weights:
         return Model()
