@@ -6,6 +6,7 @@ import importlib
 
 #: query name -> module that has it
 QUERIES = {
+    "op4_token_counts": "token_counts",
     "op7_sentencepiece": "sentencepiece_codec",
     "op2_toxicity": "toxicity",
     "op9_quality_rules": "quality_rules",
