@@ -6,6 +6,7 @@ import importlib
 
 #: query name -> module that has it
 QUERIES = {
+    "op1_mixing": "mixing",
     "op4_token_counts": "token_counts",
     "op7_sentencepiece": "sentencepiece_codec",
     "op2_toxicity": "toxicity",
