@@ -6,6 +6,7 @@ import importlib
 
 #: query name -> module that has it
 QUERIES = {
+    "op8_warc": "warc",
     "op1_mixing": "mixing",
     "op4_token_counts": "token_counts",
     "op7_sentencepiece": "sentencepiece_codec",
@@ -20,8 +21,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     found = {}
-    for name, module in QUERIES.items():
-        sql = getattr(importlib.import_module(f".{module}", __package__), "ORACLE_SQL", None)
-        if sql:
-            found[name] = sql
+    for module in QUERIES.values():
+        found |= getattr(importlib.import_module(f".{module}", __package__), "ORACLE_SQL", {})
     return found
