@@ -6,6 +6,7 @@ import importlib
 
 #: query name -> module that has it
 QUERIES = {
+    "op3_embedding_dedup": "embedding_dedup",
     "op5_suffix_dedup": "suffix_dedup",
     "op6_line_dedup": "line_dedup",
     "op10_minhash": "minhash",
