@@ -156,5 +156,17 @@ def sizes(docs: DataFrame) -> DataFrame:
     return settle(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
 
 
+def mixed(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, rounded to whole documents; all columns.
+
+    Rows that share a doc_id are taken alike. Rows without words, which no mix
+    of words takes, and rows without an id go.
+    """
+    of = mix(sizes(docs)).where("size > 0").groupBy("doc_id").agg((F.sum("taken") / F.sum("size")).alias("__turns"))
+    turns = of.select(F.col("doc_id").alias("__id"), F.floor(F.col("__turns") + 0.5).cast("int").alias("__turns")).where("__turns > 0")
+    taken = docs.join(turns, docs["doc_id"] == F.col("__id"))
+    return taken.withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__turns")))).drop("__turn", "__turns", "__id")
+
+
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
     return mix(sizes(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")

@@ -31,6 +31,7 @@ from collections.abc import Iterator
 from functools import cached_property
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -300,6 +301,23 @@ def _hex(s: str) -> str:
     return hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
 
 
+def encoded(text: Column, path: str) -> Column:
+    """Struct of n_tokens, ids and whether the decoded ids give the text back."""
+
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        c = codec(path)
+        for texts in parts:
+            rows = []
+            for t in texts:
+                runs = [s for _, s in c.encoded(t or "")]
+                ids = np.fromstring(",".join(runs), np.int32, sep=",") if runs else np.zeros(0, np.int32)
+                rows.append((len(ids), ids, c.decoded(runs) == (t or "")))
+            yield pd.DataFrame(rows, columns=["n_tokens", "ids", "exact"])
+
+    kind = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("exact", T.BooleanType())])
+    return F.pandas_udf(run, kind)(text)
+
+
 def digests(text: Column, path: str) -> Column:
     """Struct of n_tokens, ids_sha256 and decoded_sha256: encodes, then decodes the ids."""
 
