@@ -1,11 +1,392 @@
-"""All queries of the relational engine and their SQL, by name."""
+"""All queries of the relational engine and their SQL, by name.
+
+One query for each operator, run on the test tables, and the decision-support
+queries. ``queries()`` and ``oracle_sql()`` share their keys.
+"""
 
 from __future__ import annotations
 
+import datetime
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace import functions as fx
+from millrace.elastic import model as elastic
+from millrace.operators import relational as ops
+from millrace.plans import analogues
+from millrace.shared import fresh_path
+from millrace.sources import delimited
+from millrace.sources.parquet import load, money
+
+Query = Callable[[SparkSession, str], DataFrame]
+_FOUND: dict[str, tuple[Query, str]] = {}
+
 
-def queries() -> dict:
-    return {}
+def query(sql: str) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _FOUND[f.__name__] = (f, sql)
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return {name: f for name, (f, _) in _FOUND.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _FOUND.items()}
+
+
+LINE = ["l_orderkey", "l_linenumber", "l_quantity"]
+LINE_SQL = "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE "
+
+
+def _filtered(name: str, predicate: Callable, sql: str) -> None:
+    _FOUND[name] = (lambda spark, d: ops.select_project(load(spark, d, "lineitem"), predicate(), LINE), LINE_SQL + sql)
+
+
+# ---- whole queries ----
+
+
+@query(analogues.store_report_sql(1998, "NATION_12"))
+def q1_like(spark: SparkSession, d: str) -> DataFrame:
+    return analogues.store_report(spark, d, 1998, "NATION_12")
+
+
+@query(analogues.order_report_sql(analogues.NATIONS, False))
+def q16_like(spark: SparkSession, d: str) -> DataFrame:
+    return analogues.order_report(spark, d, analogues.NATIONS, False)
+
+
+@query(analogues.order_report_sql(["NATION_3"], False))
+def q94_like(spark: SparkSession, d: str) -> DataFrame:
+    return analogues.order_report(spark, d, ["NATION_3"], False)
+
+
+@query(analogues.order_report_sql(["NATION_3"], True))
+def q95_like(spark: SparkSession, d: str) -> DataFrame:
+    return analogues.order_report(spark, d, ["NATION_3"], True)
+
+
+# ---- projection and selection ----
+
+
+@query("SELECT l_orderkey, l_suppkey FROM lineitem")
+def project(spark: SparkSession, d: str) -> DataFrame:
+    return ops.project(load(spark, d, "lineitem"), ["l_orderkey", "l_suppkey"])
+
+
+_filtered("filter_int_gt", lambda: F.col("l_linenumber") > 4, "l_linenumber > 4")
+_filtered("filter_int_lt", lambda: F.col("l_linenumber") < 2, "l_linenumber < 2")
+_filtered("filter_int_eq", lambda: F.col("l_linenumber") == 3, "l_linenumber = 3")
+_filtered("filter_int_ne", lambda: F.col("l_linenumber") != 1, "l_linenumber <> 1")
+_filtered("filter_int_ge", lambda: F.col("l_linenumber") >= 6, "l_linenumber >= 6")
+_filtered("filter_int_le", lambda: F.col("l_linenumber") <= 2, "l_linenumber <= 2")
+_filtered("filter_float_gt", lambda: F.col("l_quantity") > 45.0, "l_quantity > 45.0")
+_filtered("filter_float_lt", lambda: F.col("l_quantity") < 5.0, "l_quantity < 5.0")
+_filtered("filter_float_eq", lambda: F.col("l_quantity") == 17.0, "l_quantity = 17.0")
+_filtered("filter_float_ne", lambda: F.col("l_quantity") != 17.0, "l_quantity <> 17.0")
+_filtered("filter_string_eq", lambda: F.col("l_returnflag") == "R", "l_returnflag = 'R'")
+_filtered("filter_in", lambda: F.col("l_returnflag").isin("A", "R"), "l_returnflag IN ('A', 'R')")
+_filtered("filter_year", lambda: fx.in_year(F.col("l_shipdate"), 1998), "year(l_shipdate) = 1998")
+_filtered(
+    "filter_date_range",
+    lambda: fx.strictly_between(F.col("l_shipdate"), F.lit(datetime.date(1998, 2, 1)), F.lit(datetime.date(1998, 4, 2))),
+    "l_shipdate > DATE '1998-02-01' AND l_shipdate < DATE '1998-04-02'",
+)
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > c_acctbal")
+def compare_columns(spark: SparkSession, d: str) -> DataFrame:
+    customer = load(spark, d, "customer").select("c_custkey", "c_acctbal")
+    both = load(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice").join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    return ops.select_project(both, F.col("o_totalprice") > F.col("c_acctbal"), ["o_orderkey", "o_totalprice"])
+
+
+@query("SELECT p_partkey, p_retailprice * 1.2::DOUBLE AS p_retailprice FROM part")
+def scalar_multiply(spark: SparkSession, d: str) -> DataFrame:
+    return ops.scale(load(spark, d, "part").select("p_partkey", "p_retailprice"), "p_retailprice", 1.2)
+
+
+# ---- joins ----
+
+
+def _urgent(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select("o_orderkey")
+
+
+_URGENT = "(SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')"
+
+
+@query(LINE_SQL + f"l_orderkey IN {_URGENT}")
+def semi_join(spark: SparkSession, d: str) -> DataFrame:
+    return ops.semi_join(load(spark, d, "lineitem").select(*LINE), _urgent(spark, d), "l_orderkey", "o_orderkey")
+
+
+@query(LINE_SQL + f"l_orderkey IN {_URGENT} AND l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)")
+def semi_join_chained(spark: SparkSession, d: str) -> DataFrame:
+    lines = load(spark, d, "lineitem").select(*LINE, "l_suppkey")
+    lines = ops.semi_join(lines, load(spark, d, "supplier").where("s_acctbal > 0"), "l_suppkey", "s_suppkey")
+    return ops.semi_join(lines, _urgent(spark, d), "l_orderkey", "o_orderkey").select(*LINE)
+
+
+@query(LINE_SQL + f"l_orderkey IN {_URGENT}")
+def semi_join_hash(spark: SparkSession, d: str) -> DataFrame:
+    return ops.semi_join(load(spark, d, "lineitem").select(*LINE), _urgent(spark, d), "l_orderkey", "o_orderkey", "shuffle_hash")
+
+
+@query(LINE_SQL + f"l_orderkey NOT IN {_URGENT}")
+def anti_join(spark: SparkSession, d: str) -> DataFrame:
+    return ops.anti_join(load(spark, d, "lineitem").select(*LINE), _urgent(spark, d), "l_orderkey", "o_orderkey")
+
+
+@query("SELECT s_name, c_name FROM supplier JOIN customer ON s_nationkey = c_nationkey")
+def inner_join_mn(spark: SparkSession, d: str) -> DataFrame:
+    return ops.inner_join(load(spark, d, "supplier"), load(spark, d, "customer"), "s_nationkey", "c_nationkey", ["s_name"], ["c_name"])
+
+
+@query(
+    """WITH n AS (SELECT c_nationkey, row_number() OVER (PARTITION BY c_nationkey) AS k FROM customer),
+s AS (SELECT s_nationkey, row_number() OVER (PARTITION BY s_nationkey) AS k FROM supplier)
+SELECT c_nationkey FROM n WHERE EXISTS (SELECT 1 FROM s WHERE s_nationkey = c_nationkey AND s.k = n.k)"""
+)
+def exists_multiset(spark: SparkSession, d: str) -> DataFrame:
+    return ops.semi_join_once(load(spark, d, "customer").select("c_nationkey"), load(spark, d, "supplier"), "c_nationkey", "s_nationkey")
+
+
+@query("SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_suppkey) > 1")
+def several_values(spark: SparkSession, d: str) -> DataFrame:
+    return ops.keys_with_several(load(spark, d, "lineitem"), "l_orderkey", "l_suppkey")
+
+
+# ---- grouping ----
+
+_CENTS = "CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE)"
+
+
+@query(f"SELECT l_suppkey, {_CENTS} AS total FROM lineitem GROUP BY l_suppkey")
+def group_sum_1key(spark: SparkSession, d: str) -> DataFrame:
+    return ops.group(load(spark, d, "lineitem"), ["l_suppkey"], F.sum(money("l_extendedprice")).cast("double").alias("total"))
+
+
+@query(f"SELECT l_suppkey, l_linenumber, {_CENTS} AS total FROM lineitem GROUP BY l_suppkey, l_linenumber")
+def group_sum_2key(spark: SparkSession, d: str) -> DataFrame:
+    return ops.group(load(spark, d, "lineitem"), ["l_suppkey", "l_linenumber"], F.sum(money("l_extendedprice")).cast("double").alias("total"))
+
+
+@query("SELECT l_suppkey, round(avg(l_quantity), 4) AS quantity FROM lineitem GROUP BY l_suppkey")
+def group_avg(spark: SparkSession, d: str) -> DataFrame:
+    return ops.group(load(spark, d, "lineitem"), ["l_suppkey"], F.round(F.avg("l_quantity"), 4).alias("quantity"))
+
+
+@query("SELECT l_suppkey, count(*) AS n, min(l_quantity) AS low, max(l_quantity) AS high FROM lineitem GROUP BY l_suppkey")
+def group_count_min_max(spark: SparkSession, d: str) -> DataFrame:
+    return ops.group(load(spark, d, "lineitem"), ["l_suppkey"], F.count("*").alias("n"), F.min("l_quantity").alias("low"), F.max("l_quantity").alias("high"))
+
+
+@query("SELECT l_orderkey, CAST(least(count(DISTINCT l_suppkey), 2) AS INTEGER) AS suppliers FROM lineitem GROUP BY l_orderkey")
+def group_count_distinct_capped(spark: SparkSession, d: str) -> DataFrame:
+    return ops.group(load(spark, d, "lineitem"), ["l_orderkey"], fx.capped_distinct(F.col("l_suppkey")).alias("suppliers"))
+
+
+@query("SELECT l_orderkey, CAST(least(count(DISTINCT l_suppkey), 2) AS INTEGER) AS suppliers FROM lineitem GROUP BY l_orderkey")
+def count_distinct_two_phase(spark: SparkSession, d: str) -> DataFrame:
+    part = ops.group(load(spark, d, "lineitem"), ["l_orderkey", "l_returnflag"], fx.capped_distinct_partial(F.col("l_suppkey")).alias("state"))
+    return ops.group(part, ["l_orderkey"], fx.capped_distinct_final("state").alias("suppliers"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(avg(l_quantity) OVER (PARTITION BY l_suppkey), 4) AS usual FROM lineitem")
+def group_avg_append(spark: SparkSession, d: str) -> DataFrame:
+    lines = load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity")
+    return ops.append_group_avg(lines, "l_suppkey", "l_quantity", "usual").select("l_orderkey", "l_linenumber", F.round("usual", 4).alias("usual"))
+
+
+@query("SELECT count(DISTINCT l_orderkey) AS orders FROM lineitem")
+def global_count_distinct(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "lineitem").agg(F.count_distinct("l_orderkey").alias("orders"))
+
+
+@query(f"SELECT {_CENTS} AS total, CAST(sum(l_linenumber) AS BIGINT) AS numbers FROM lineitem")
+def global_sum(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "lineitem").agg(F.sum(money("l_extendedprice")).cast("double").alias("total"), F.sum("l_linenumber").alias("numbers"))
+
+
+# ---- distinct, order, sets ----
+
+
+@query("SELECT DISTINCT o_custkey FROM orders")
+def distinct(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "orders").select("o_custkey").distinct()
+
+
+@query("SELECT c_name, c_custkey FROM customer ORDER BY c_name")
+def sort_one(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "customer").select("c_name", "c_custkey").orderBy("c_name")
+
+
+@query("SELECT c_nationkey, c_custkey FROM customer ORDER BY c_nationkey, c_custkey")
+def sort_two(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "customer").select("c_nationkey", "c_custkey").orderBy("c_nationkey", "c_custkey")
+
+
+@query("SELECT p_name FROM part ORDER BY strlen(p_name), p_name LIMIT 50")
+def sort_length_first(spark: SparkSession, d: str) -> DataFrame:
+    return ops.top(load(spark, d, "part").select("p_name"), fx.length_first(F.col("p_name")), 50)
+
+
+def _two(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return load(spark, d, "customer").select(F.col("c_nationkey").alias("k")), load(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_nationkey").alias("k"))
+
+
+_C, _S = "SELECT c_nationkey AS k FROM customer", "SELECT s_nationkey AS k FROM supplier WHERE s_acctbal > 0"
+
+
+@query(f"{_C} INTERSECT {_S}")
+def intersect(spark: SparkSession, d: str) -> DataFrame:
+    return ops.intersect(*_two(spark, d))
+
+
+@query(f"{_C} INTERSECT ALL {_S}")
+def intersect_all(spark: SparkSession, d: str) -> DataFrame:
+    return ops.intersect(*_two(spark, d), repeats=True)
+
+
+@query(f"SELECT k FROM ({_S}) WHERE k IN ({_C})")
+def intersect_keep_repeats(spark: SparkSession, d: str) -> DataFrame:
+    left, right = _two(spark, d)
+    return ops.semi_join(right, left, "k", "k")
+
+
+@query("SELECT o_custkey AS k FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_acctbal < 5000")
+def difference(spark: SparkSession, d: str) -> DataFrame:
+    return ops.difference(load(spark, d, "orders").select(F.col("o_custkey").alias("k")), load(spark, d, "customer").where("c_acctbal < 5000").select("c_custkey"))
+
+
+@query(f"{_C} EXCEPT ALL {_S}")
+def difference_all(spark: SparkSession, d: str) -> DataFrame:
+    return ops.difference(*_two(spark, d), repeats=True)
+
+
+@query(f"{_C} UNION ALL {_S}")
+def union_all(spark: SparkSession, d: str) -> DataFrame:
+    return ops.union_all(_two(spark, d))
+
+
+@query(
+    """WITH r AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS rn, count(*) OVER () AS n FROM customer)
+SELECT c_custkey, CAST(least((rn - 1) // greatest(n // 7, 1), 6) AS BIGINT) AS slice FROM r"""
+)
+def contiguous_slice(spark: SparkSession, d: str) -> DataFrame:
+    return ops.contiguous_slices(load(spark, d, "customer").select("c_custkey"), ["c_custkey"], 7)
+
+
+# ---- input, output, exchange ----
+
+_NATION = "n_nationkey int, n_name string, n_regionkey int"
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def pipe_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    path = fresh_path(spark, "pipe")
+    delimited.write_table(load(spark, d, "nation"), path)
+    return delimited.read_table(spark, path, _NATION)
+
+
+@query("SELECT c_custkey, c_name FROM (SELECT *, row_number() OVER (ORDER BY c_custkey) AS rn, count(*) OVER () AS n FROM customer) WHERE least((rn - 1) // greatest(n // 4, 1), 3) IN (1, 3)")
+def chunked_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    path = fresh_path(spark, "chunks")
+    delimited.write_slices(load(spark, d, "customer").select("c_custkey", "c_name"), ["c_custkey"], 4, path)
+    return delimited.read_slices(spark, path, [1, 3], "c_custkey bigint, c_name string")
+
+
+@query("SELECT n_name, count(*) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
+def allgather_broadcast_join(spark: SparkSession, d: str) -> DataFrame:
+    nation = ops.replicate(load(spark, d, "nation"))
+    return load(spark, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("customers"))
+
+
+@query("SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY l_returnflag")
+def gather_scatter_shuffle(spark: SparkSession, d: str) -> DataFrame:
+    dealt = ops.shuffle(ops.gather(ops.scatter(load(spark, d, "lineitem").select("l_returnflag", "l_orderkey"), 6), 3), 5, "l_orderkey")
+    return dealt.groupBy("l_returnflag").agg(F.count("*").alias("n"))
+
+
+# ---- time models ----
+
+# Published stage totals in seconds at degrees 10, 20, 30, 60, 120.
+TOTALS = [
+    ("q1", "io", [147.854, 72.048, 48.341, 23.896, 14.561]),
+    ("q1", "compute", [14.630, 7.290, 4.921, 2.879, 2.123]),
+    ("q16", "io", [1059.924, 530.995, 356.537, 181.993, 88.508]),
+    ("q16", "compute", [471.669, 345.522, 301.855, 256.205, 237.487]),
+    ("q94", "io", [644.696, 311.484, 210.464, 104.482, 55.188]),
+    ("q94", "compute", [229.617, 163.442, 139.133, 124.787, 118.503]),
+    ("q95", "io", [534.318, 275.798, 183.368, 90.008, 45.236]),
+    ("q95", "compute", [238.822, 169.340, 141.655, 119.983, 119.244]),
+]
+DEGREES = [10, 20, 30, 60, 120]
+_ROWS = [(q, s, d, y) for q, s, ys in TOTALS for d, y in zip(DEGREES, ys, strict=True)]
+_VALUES = ", ".join(f"('{q}', '{s}', {d}, {y}::DOUBLE)" for q, s, d, y in _ROWS)
+_PROFILE = f"(VALUES {_VALUES}) AS t(query, stage, degree, ms)"
+
+
+def _profiles(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_ROWS, "query string, stage string, degree int, ms double").withColumn("phase", F.lit("compute"))
+
+
+@query(f"SELECT query, stage, round(regr_slope(ms, 1.0 / degree), 3) AS a, round(regr_intercept(ms, 1.0 / degree), 3) AS b FROM {_PROFILE} GROUP BY query, stage")
+def fit_time_model(spark: SparkSession, d: str) -> DataFrame:
+    return elastic.fit(_profiles(spark)).select("query", "stage", F.round("a", 3).alias("a"), F.round("b", 3).alias("b"))
+
+
+@query(
+    f"SELECT query, stage, round(regr_slope(ms, 1.0 / degree) / 40 + regr_intercept(ms, 1.0 / degree), 3) AS seconds FROM {_PROFILE} GROUP BY query, stage"
+)
+def predict_time(spark: SparkSession, d: str) -> DataFrame:
+    return elastic.predict(elastic.fit(_profiles(spark)), "compute", F.lit(40)).select("query", "stage", F.round("ms", 3).alias("seconds"))
+
+
+# stage, single, input size, memory, weight
+_STAGES = [(1, 0, 146.8, 154.605, 520.0), (2, 0, 7.81, 8.5379, 60.0), (3, 1, 0.737, 1.237, 1.0), (4, 0, 320.5, 330.25, 610.0), (5, 0, 20.25, 22.5, 44.0), (6, 0, 64.0, 70.125, 130.0)]
+_STAGE_SQL = "(VALUES " + ", ".join(str(s) for s in _STAGES) + ") AS s(stage, single, size, mem, weight)"
+
+
+def _stages(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_STAGES, "stage int, single int, size double, mem double, weight double")
+
+
+def _dealt(stages: DataFrame, share, slots: int = 118) -> DataFrame:
+    """Slots by share among the stages of several tasks: a table of a few stages."""
+    free = F.when(F.col("single") == 0, share)
+    total = stages.agg(F.sum(free).alias("total"))
+    degree = F.when(F.col("single") == 1, 1).otherwise(F.greatest(F.lit(1), F.floor(F.lit(slots) * share / F.col("total")))).cast("long")
+    return stages.join(F.broadcast(total)).select("stage", degree.alias("degree"))
+
+
+def _dealt_sql(share: str) -> str:
+    return f"""SELECT stage, CAST(CASE WHEN single = 1 THEN 1 ELSE greatest(1, floor(118 * {share} / sum(CASE WHEN single = 0 THEN {share} END) OVER ())) END AS BIGINT) AS degree FROM {_STAGE_SQL}"""
+
+
+@query(_dealt_sql("sqrt(mem::DOUBLE * weight::DOUBLE)"))
+def dop_by_cost(spark: SparkSession, d: str) -> DataFrame:
+    return _dealt(_stages(spark), F.sqrt(F.col("mem") * F.col("weight")))
+
+
+@query(_dealt_sql("size::DOUBLE"))
+def dop_by_size(spark: SparkSession, d: str) -> DataFrame:
+    return _dealt(_stages(spark), F.col("size"))
+
+
+# stage, degree, memory, pre, read1, read2, compute, write (ms)
+_TASKS = [(1, 24, 6.5, 70, 32345, 0, 74, 856), (2, 12, 0.75, 40, 900, 0, 120, 310), (3, 1, 1.25, 35, 450, 700, 800, 20), (6, 6, 11.5, 90, 2100, 650, 3000, 480)]
+_TASK_SQL = "(VALUES " + ", ".join(str(t) for t in _TASKS) + ") AS t(stage, degree, mem, pre, read1, read2, compute, write)"
+
+
+@query(f"SELECT stage, CAST(pre + compute + least(read1, 600) + read2 + least(write, 600) AS BIGINT) AS charged, round(degree * mem::DOUBLE * (pre + compute + least(read1, 600) + read2 + least(write, 600)) / 1000.0::DOUBLE, 4) AS cost FROM {_TASK_SQL}")
+def charge_cost(spark: SparkSession, d: str) -> DataFrame:
+    tasks = spark.createDataFrame(_TASKS, "stage int, degree int, mem double, pre long, read1 long, read2 long, compute long, write long")
+    ms = fx.charged_ms(F.col("pre"), F.col("read1"), F.col("read2"), F.col("compute"), F.col("write"), (True, False, True))
+    return tasks.select("stage", ms.alias("charged"), F.round(F.col("degree") * F.col("mem") * ms / 1000.0, 4).alias("cost"))
