@@ -145,13 +145,15 @@ def quality_stats(text: Column) -> Column:
     return F.pandas_udf(_stats, kind)(text)
 
 
-def fit(counts: dict[int, int], rounds: int = 200, tol: float = 1e-9, false_alarm: float = 0.001) -> dict[int, float]:
+def fit(counts: dict[int, int], rounds: int = 200, tol: float = 1e-9, false_alarm: float = 0.001, sure: float = 0.95) -> dict[int, float]:
     """Posterior probability of good for each vote pattern, by EM over pattern counts.
 
     The start takes documents without a bad vote as good. Each rule keeps its
     orientation: it may not vote bad more often on good than on bad documents,
     and on good ones at most ``false_alarm`` of the time: kinds of junk that trip
     one rule alone would else pass as a habit of that rule on good documents.
+    Where no vote says bad and some say good, they are taken at their word (at
+    least ``sure``): junk that never trips two rules could else be chance.
     """
     if not counts:
         return {}
@@ -159,6 +161,7 @@ def fit(counts: dict[int, int], rounds: int = 200, tol: float = 1e-9, false_alar
     v = np.array([pattern_votes(c) for c in codes])
     w = np.array([counts[c] for c in codes], np.float64)
     hot = np.stack([v == k for k in (BAD, GOOD, ABSTAIN)]).astype(np.float64)  # 3 x patterns x rules
+    agreed = ~(v == BAD).any(axis=1) & (v == GOOD).any(axis=1)
     post = np.where((v == BAD).any(axis=1), 0.05, 0.99)
     last = -np.inf
     for _ in range(rounds):
@@ -176,6 +179,7 @@ def fit(counts: dict[int, int], rounds: int = 200, tol: float = 1e-9, false_alar
         lg = np.log(prior) + np.einsum("kpr,kr->p", hot, np.log(good))
         lb = np.log(1 - prior) + np.einsum("kpr,kr->p", hot, np.log(bad))
         post = 1 / (1 + np.exp(np.clip(lb - lg, -700, 700)))
+        post = np.where(agreed, np.maximum(post, sure), post)
         now = float((w * np.logaddexp(lg, lb)).sum())
         if math.isfinite(last) and abs(now - last) <= tol * abs(now):
             break

@@ -148,9 +148,11 @@ def unpack(blob: bytes) -> list[np.ndarray]:
 
 def _deal(key: np.ndarray, columns: list[np.ndarray], kind: int = 0) -> pd.DataFrame:
     """One packed row for each value of ``key``."""
+    if not len(key):
+        return pd.DataFrame({"bin": [], "kind": [], "blob": []}).astype({"bin": "int64", "kind": "int32"})
     order = np.argsort(key, kind="stable")
     key = key[order]
-    cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    cuts = np.flatnonzero(_heads(key))
     ends = np.r_[cuts[1:], len(key)]
     rows = [(int(key[a]), kind, pack([c[order[a:b]] for c in columns])) for a, b in zip(cuts, ends, strict=True)]
     return pd.DataFrame(rows, columns=["bin", "kind", "blob"])
@@ -391,9 +393,8 @@ def spans_of_contexts(context: list[bytes], doc: np.ndarray, shard_bytes: int =
 
 def _contexts(key: tuple, docs: pd.DataFrame, lists: pd.DataFrame, bins: int) -> pd.DataFrame:
     """Bytes of the contexts that go on, packed by the bin of their gram."""
-    none = pd.DataFrame({"bin": [], "kind": [], "blob": []}).astype({"bin": "int64", "kind": "int32"})
     if not len(lists) or not len(docs):
-        return none
+        return _deal(np.zeros(0, np.int64), [])
     doc, tag, pos, gram = _together(lists["blob"])
     raws = [t.encode("utf-8", "surrogatepass") for t in docs["text"]]
     text = {(int(d), zlib.crc32(r)): r for d, r in zip(docs["doc_id"], raws, strict=True)}

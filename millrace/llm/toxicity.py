@@ -4,7 +4,7 @@ Training (bounded): token counts of at most ``max_docs`` labelled documents of
 each class give every token a log-odds score under an informative Dirichlet
 prior (the pooled counts, scaled). A token is a word or a stem, the first 4 to
 7 letters of a word; a word scores as the best of its tokens. Counts are of
-documents, near copies (same least word hash) once. Only tokens that toxic
+documents, near copies (same least hash of three words) once. Only tokens that toxic
 documents have more often than the number of tokens tried explains are kept,
 at most ``max_terms``; all other words cost a small drift, so that a random
 text scores below zero on average.
@@ -202,7 +202,8 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, max_terms: i
             for y, text in zip(df["toxic"], df["text"], strict=True):
                 ws = tokens(text)
                 if ws:
-                    copy = min(zlib.crc32(w.encode()) for w in ws)
+                    row = words_of(text)
+                    copy = min(zlib.crc32(" ".join(row[k : k + 3]).encode()) for k in range(max(1, len(row) - 2)))
                     yield pd.DataFrame({"toxic": y, "copy": copy, "w": ws})
 
     once = rows.mapInPandas(split, "toxic int, copy long, w string").distinct()
