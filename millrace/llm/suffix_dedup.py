@@ -287,7 +287,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     return sa
 
 
-def kasai(data: np.ndarray, sa: np.ndarray, limit: int, lane: int = 2048) -> np.ndarray:
+def kasai(data: np.ndarray, sa: np.ndarray, limit: int, lane: int = 128) -> np.ndarray:
     """Common prefix of each entry of ``sa`` with the one before, at most ``limit``.
 
     Kasai's pass over the text, from one place to the next with one byte less,
