@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: A word is a run of code points that are not ASCII white space (fixed by the contracts).
 WORD = r"[^\x20\x09-\x0D]+"
+ARROW_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ARROW_ROWS = 1000
 SPACES = " \t\n\x0b\x0c\r"
 
 
@@ -34,11 +36,17 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts lineage so that a lost executor costs a re-read, not a recomputation,
-    and fixes results that later passes must see identically.
+    and fixes results that later passes must see identically. While it writes,
+    Python workers get ``ARROW_ROWS`` rows at a time: texts are long.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    rows = spark.conf.get(ARROW_SETTING)
+    spark.conf.set(ARROW_SETTING, str(min(ARROW_ROWS, int(rows)) if int(rows) > 0 else ARROW_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(ARROW_SETTING, rows)
     return spark.read.schema(df.schema).parquet(path)
 
 

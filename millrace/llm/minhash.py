@@ -6,17 +6,16 @@ value, and rounds end when every bin is filled, which the second half
 guarantees. Coordinates agree with probability J, concentrated as for t
 independent hashes, at the cost of about one pass for sets larger than t.
 
-Banding: t coordinates in bands of ``rows``; documents that share a band meet.
+Banding: t coordinates in bands of ``ROWS``; documents that share a band meet.
 Documents with equal sets become one class first, so exact copies cost one row.
-In each bucket all members are held against its smallest id (a star); once the
-confirmed links have been merged, only members of one bucket that are still
-apart are compared pairwise, in tiles, so a group of copies never emits all its
-pairs. Pairs whose sketches agree too little are left out (``slack`` standard
-deviations below the threshold, 1e-8 of true links); the rest are confirmed on
-their full shingle sets. No bucket, candidate or partner is capped.
-
-Sets travel as 64-bit shingle hashes, streamed: a confirming task holds one
-set and the batch of its partners.
+Members of a bucket are tied to its smallest id (a star), and the components of
+these ties are clusters outside of which no documents meet. Clusters are cut
+into tiles; a task holds two tiles of a cluster and confirms links on the full
+shingle sets, pairs of most agreeing sketches first. Pairs that are connected
+already are passed over, so a group of n copies costs about n confirmations, and
+a task emits the links of a forest, never all pairs. Pairs whose sketches agree
+too little are left out (``SLACK`` standard deviations below the threshold, 1e-8
+of true links). No bucket, candidate or partner is capped.
 
 Defined results: a null or blank text has an empty set and is linked with
 nothing; a text with fewer words than a shingle is one shingle as a whole;
@@ -42,7 +41,10 @@ from .common import components, settle, table
 BINS = 128
 ROWS = 4
 SLACK = 5.7
-TILE = 256
+TILE = 512
+TILE_BYTES = 4 << 20
+#: Lists of ids up to this many rows (8 bytes each) are broadcast, longer ones are joined by shuffle.
+SMALL = 500_000
 SALTS = 16
 U = np.uint64
 
@@ -77,6 +79,7 @@ def shingle_set(text: str | None, k: int, known: WordHashes) -> np.ndarray:
     return np.unique(h)
 
 
+_ROUNDS = [np.array([i], np.uint64) for i in range(2 * BINS)]
 _SEEDS = _mix(np.arange(1, 2 * BINS + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
 
 
@@ -92,10 +95,10 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
             bins, first = np.unique(b[order], return_index=True)
             new = empty[bins]
             # equal values of different rounds are different coordinates
-            out[bins[new]] = _mix(v[order[first[new]]] + U(i))
+            out[bins[new]] = _mix(v[order[first[new]]] + _ROUNDS[i])
             empty[bins] = False
         elif empty[i - BINS]:
-            out[i - BINS] = _mix(v.min() + U(i))
+            out[i - BINS] = _mix(v.min() + _ROUNDS[i])[0]
             empty[i - BINS] = False
         if not empty.any():
             break
@@ -126,38 +129,6 @@ def _sketches(k: int, rows: int):
     return F.pandas_udf(run, kind)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of documents whose full sets have ``100 * common >= percent * union``."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    build = F.pandas_udf(_set_bytes(k), T.BinaryType())
-    sets = settle(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").select("doc_id", build("text").alias("set")), "minhash-sets")
-    # partners of one document are dealt over tasks; its own set goes to each
-    width = 64
-    members = pairs.join(sets.withColumnRenamed("doc_id", "b"), "b").select("a", F.pmod(F.xxhash64("b"), F.lit(width)).cast("int").alias("salt"), "b", "set")
-    owners = pairs.select("a", F.pmod(F.xxhash64("b"), F.lit(width)).cast("int").alias("salt")).distinct().join(sets.withColumnRenamed("doc_id", "a"), "a")
-    both = members.union(owners.select("a", "salt", F.lit(None).cast("long").alias("b"), "set"))
-    dealt = both.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, own = None, []
-        for df in parts:
-            out = []
-            for a, salt, b, raw in zip(df["a"], df["salt"], df["b"], df["set"], strict=True):
-                s = np.frombuffer(raw, np.uint64)
-                if pd.isna(b):
-                    own = [*own, s] if at == (a, salt) else [s]
-                    at = (a, salt)
-                    continue
-                for o in own:
-                    common = len(o) + len(s) - len(np.unique(np.concatenate([o, s])))
-                    if common and 100 * common >= percent * (len(o) + len(s) - common):
-                        out.append((a, int(b)))
-                        break
-            yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-
-    return dealt.mapInPandas(run, "a long, b long").distinct()
-
-
 def _set_bytes(k: int):
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known = WordHashes()
@@ -172,39 +143,53 @@ def least_agreement(percent: int) -> int:
     return math.floor(BINS * j - SLACK * math.sqrt(BINS * j * (1 - j)))
 
 
-def _alike(pairs: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b, ma, mb) those whose marks agree often enough, as (a, b)."""
+def link_forest(marks: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links (i, j) that connect all of left x right that links connect, found from the most agreeing pairs on."""
     least = least_agreement(percent)
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in parts:
-            if len(df):
-                x = np.frombuffer(b"".join(df["ma"]), np.uint8).reshape(-1, BINS)
-                y = np.frombuffer(b"".join(df["mb"]), np.uint8).reshape(-1, BINS)
-                df = df[(x == y).sum(axis=1) >= least]
-            yield df[["a", "b"]]
-
-    return pairs.mapInPandas(run, "a long, b long")
+    agree = np.empty((len(left), len(right)), np.int16)
+    other = marks[right]
+    for k, i in enumerate(left):
+        agree[k] = (other == marks[i]).sum(axis=1)
+    p, q = np.nonzero(agree >= least)
+    order = np.argsort(-agree[p, q], kind="stable")
+    root = list(range(len(sets)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    out = []
+    for i, j in zip(left[p[order]].tolist(), right[q[order]].tolist(), strict=True):
+        a, b = find(i), find(j)
+        if a == b:
+            continue
+        x, y = sets[i], sets[j]
+        n = len(x) + len(y)
+        if (100 + percent) * min(len(x), len(y)) < percent * n:  # even if one held the other
+            continue
+        at = np.searchsorted(x, y)
+        at[at == len(x)] = 0
+        common = int((x[at] == y).sum())
+        if 100 * common >= percent * (n - common):
+            root[max(a, b)] = min(a, b)
+            out.append((i, j))
+    return out
 
 
-def _apart(tiles: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one tile pair that are in different components and alike: (a, b), a < b."""
-    least = least_agreement(percent)
+def _links(tiles: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of each pair of tiles."""
 
     def run(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
-        left, right = df[df["side"] <= 1], df[df["side"] >= 1]  # 0 left, 1 both, 2 right
-        x = np.frombuffer(b"".join(left["marks"]), np.uint8).reshape(-1, BINS)
-        y = np.frombuffer(b"".join(right["marks"]), np.uint8).reshape(-1, BINS)
-        la, lc, ra, rc = (z.to_numpy() for z in (left["id"], left["component"], right["id"], right["component"]))
-        out = []
-        for i in range(len(x)):
-            hit = np.flatnonzero((rc != lc[i]) & (ra != la[i]))
-            if len(hit):
-                hit = hit[(y[hit] == x[i]).sum(axis=1) >= least]
-                out += [(min(la[i], r), max(la[i], r)) for r in ra[hit]]
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64").drop_duplicates()
+        marks = np.frombuffer(b"".join(df["marks"]), np.uint8).reshape(-1, BINS)
+        sets = [np.frombuffer(x, np.uint64) for x in df["set"]]
+        side = df["side"].to_numpy()  # 0 left, 1 both, 2 right
+        found = link_forest(marks, sets, np.flatnonzero(side <= 1), np.flatnonzero(side >= 1), percent)
+        ids = df["id"].to_numpy()
+        return pd.DataFrame([(ids[i], ids[j]) for i, j in found], columns=["a", "b"]).astype("int64")
 
-    return tiles.groupBy("band", "i", "j").applyInPandas(run, "a long, b long").distinct()
+    return tiles.groupBy("cluster", "i", "j").applyInPandas(run, "a long, b long")
 
 
 def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = ROWS) -> DataFrame:
@@ -221,30 +206,25 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = ROWS
 
     bands = reps.select("id", F.explode("bands").alias("band"))
     met = bands.groupBy("band").agg(F.min("id").alias("centre"), F.count("*").alias("n")).where("n > 1")
-    members = settle(bands.join(met, "band"), "minhash-members")
-    marks = reps.select("id", "marks")
-    stars = members.where("id != centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    stars = stars.join(marks.toDF("a", "ma"), "a").join(marks.toDF("b", "mb"), "b")
-    texts = docs.select("doc_id", "text")
-    links = settle(confirm(settle(_alike(stars, percent), "minhash-stars"), texts, k, percent), "minhash-links")
-    part = components(links, spark)
-
-    # members of a bucket that the stars have not brought together
-    placed = members.join(part, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    split = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("band")
-    open_ = settle(placed.join(split, "band", "left_semi"), "minhash-open")
-    # buckets of the same members need one comparison only
-    same = open_.groupBy("band").agg(F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sum"), F.first("n").alias("n"))
-    once = same.groupBy("sum", "n").agg(F.min("band").alias("band")).select("band")
-    tiles = F.ceil(F.col("n") / TILE).cast("int")
-    own = open_.join(once, "band", "left_semi").join(marks, "id").withColumn("tile", F.pmod(F.xxhash64("id", "band"), tiles).cast("int"))
-    spread = own.select(
-        "id", "band", "component", "marks", "tile", F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other")
-    ).select("id", "band", "component", "marks", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), F.when(F.col("tile") == F.col("other"), 1).when(F.col("tile") < F.col("other"), 0).otherwise(2).alias("side"))
-    rest = settle(_apart(spread, percent), "minhash-rest")
-    if not rest.isEmpty():
-        more = settle(confirm(rest, texts, k, percent), "minhash-more")
-        part = components(links.union(more), spark)
+    stars = bands.join(met, "band").where("id != centre").select(F.col("centre").alias("a"), F.col("id").alias("b"))
+    below = components(stars, spark)
+    roots = below.select(F.col("component").alias("id"), "component").distinct()
+    cluster = settle(below.union(roots).select("id", F.col("component").alias("cluster")), "minhash-clusters")
+
+    build = F.pandas_udf(_set_bytes(k), T.BinaryType())
+    ids = cluster.select(F.col("id").alias("doc_id"))
+    few = cluster.count() <= SMALL
+    own = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    sets = own.select(F.col("doc_id").alias("id"), build("text").alias("set")).where(F.octet_length("set") > 0)
+    sets = settle(sets.withColumn("bytes", F.octet_length("set")), "minhash-sets")
+    held = cluster.join(reps.select("id", "marks"), "id").join(sets, "id")
+    load = F.ceil(F.greatest(F.count("*") / TILE, F.sum("bytes") / TILE_BYTES)).cast("int")
+    tiles = cluster.join(sets.select("id", "bytes"), "id").groupBy("cluster").agg(load.alias("tiles"))
+    own_tile = F.pmod(F.xxhash64("id", F.lit(9)), F.col("tiles")).cast("int")
+    spread = held.join(tiles, "cluster").withColumn("tile", own_tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    t, o = F.col("tile"), F.col("other")
+    pairs = spread.select("cluster", "id", "marks", "set", F.least(t, o).alias("i"), F.greatest(t, o).alias("j"), F.when(t == o, 1).when(t < o, 0).otherwise(2).alias("side"))
+    part = components(settle(_links(pairs, percent), "minhash-links"), spark)
 
     # from class representatives back to all documents; large classes are dealt over salts
     groups = shared.join(part, "id", "left").select("set_key", F.coalesce("component", "id").alias("of_class"))
@@ -267,3 +247,25 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> Data
 
 def op10_minhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), 3, 85)
+
+
+#: DuckDB: shingle sets in full, all pairs that share a shingle, reachability by recursion.
+ORACLE_SQL = {
+    "op10_minhash": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [w] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i:i+2]) END) AS g FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+), l AS (
+  SELECT x, y FROM p JOIN n AS a ON a.doc_id = x JOIN n AS b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)
+), e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(id, root) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.id
+)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, r.component_id, d.doc_id = r.component_id AS kept
+FROM documents AS d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT id, min(root) AS component_id FROM r GROUP BY id) AS r ON r.id = d.doc_id
+"""
+}
