@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import line_dedup, minhash, mixing, quality_rules, sentencepiece_codec
+from millrace.llm.common import settle
 
 DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -39,7 +40,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     coded = sentencepiece_codec.encoded(F.col("text"), public_tokenizers.path("piece_bpe_32k.model"))
-    return docs.select("doc_id", "lang", "source", coded.alias("e")).select("doc_id", "lang", "source", "e.*")
+    # settled: texts and their ids go through Python in small batches
+    return settle(docs.select("doc_id", "lang", "source", coded.alias("e")).select("doc_id", "lang", "source", "e.*"), "encoded")
 
 
 STAGES = [
@@ -56,8 +58,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply STAGES to documents; what a stage returns is written to the shared folder and reread."""
-    from millrace.llm.common import settle
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
