@@ -12,12 +12,14 @@ that can matter are sorted:
    around it can reach (its context).
 2. Anchors meet by gram hash, packed in arrays. If the whole context also
    occurs in a smaller document, all of it is removed. If a gram has several
-   different contexts, one anchor of each (in its smallest document) goes on.
+   different contexts, one anchor of each (in its smallest document) goes on;
+   the context's other places in that document wait for what is found for it.
 3. The contexts that go on are put into shards, and per shard a suffix array
    is refined by Larsson and Sadakane's doubling (numpy), with Kasai's common
    prefixes, run in lanes side by side. Suffixes that share SPAN bytes learn
    their smallest document; shards of the same grams are merged by binary
-   search of their distinct strings.
+   search of their distinct strings. What is found in a context holds at all
+   its places in its smallest document.
 4. Documents get their spans back, by buckets of documents.
 
 Gram and context hashes have 32 and 64 bits, on top of the bin; the spans of
@@ -226,11 +228,13 @@ def _meet(buckets: int):
         covered = doc > least
         heads = _heads(gram)
         many = np.bincount((np.cumsum(heads) - 1)[at]) > 1  # several contexts of a gram
-        go = new & many[np.cumsum(heads) - 1]
+        open_ = ~covered & many[np.cumsum(heads) - 1]
+        go, more = open_ & new, open_ & ~new
         bucket = _bucket(doc, buckets)
         return pd.concat([
             _deal(bucket[covered], [doc[covered], tag[covered], pos[covered]], 0),
-            _deal(bucket[go], [doc[go], tag[go], pos[go], gram[go]], 1),
+            _deal(bucket[go], [doc[go], tag[go], pos[go], gram[go], context[go]], 1),
+            _deal(np.full(more.sum(), key[0], np.int64), [doc[more], tag[more], pos[more], gram[more], context[more]], 3),
         ])
 
     return run
@@ -395,7 +399,7 @@ def _contexts(key: tuple, docs: pd.DataFrame, lists: pd.DataFrame, bins: int) ->
     """Bytes of the contexts that go on, packed by the bin of their gram."""
     if not len(lists) or not len(docs):
         return _deal(np.zeros(0, np.int64), [])
-    doc, tag, pos, gram = _together(lists["blob"])
+    doc, tag, pos, gram, context = _together(lists["blob"])
     raws = [t.encode("utf-8", "surrogatepass") for t in docs["text"]]
     text = {(int(d), zlib.crc32(r)): r for d, r in zip(docs["doc_id"], raws, strict=True)}
     rows = [(text[d, t], p) for d, t, p in zip(doc.tolist(), tag.tolist(), pos.tolist(), strict=True)]
@@ -404,13 +408,16 @@ def _contexts(key: tuple, docs: pd.DataFrame, lists: pd.DataFrame, bins: int) ->
     size = np.array([len(x) for x in parts], np.uint8)
     flat = np.zeros((len(parts), REACH), np.uint8)
     flat[np.arange(REACH) < size[:, None]] = np.frombuffer(b"".join(parts), np.uint8)
-    columns = [doc, tag, pos, gram, size, flat.view(f"V{REACH}").ravel()]
+    columns = [doc, tag, pos, gram, context, size, flat.view(f"V{REACH}").ravel()]
     return _deal(((gram >> U(32)) % U(bins)).astype(np.int64), columns, 2)
 
 
 def _search(buckets: int):
     def run(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
-        doc, tag, pos, gram, size, flat = _together(df["blob"])
+        waiting = df["blob"][df["kind"] == 3]
+        if len(waiting) == len(df):
+            return _deal(np.zeros(0, np.int64), [])
+        doc, tag, pos, gram, context, size, flat = _together(df["blob"][df["kind"] == 2])
         rows = flat.view(np.uint8).reshape(-1, REACH)
         # a window around the gram holds 17 more bytes of one side of it: contexts alone with both of theirs go no further
         before = np.minimum(pos, SIDE).astype(np.int64)
@@ -427,14 +434,21 @@ def _search(buckets: int):
             _, which, count = np.unique(h, return_inverse=True, return_counts=True)
             alone &= ~ok | (count[which] < 2)
         go = np.flatnonzero(~alone)
-        context = [rows[i, : size[i]].tobytes() for i in go]
-        found = spans_of_contexts(context, doc[go])
+        found = spans_of_contexts([rows[i, : size[i]].tobytes() for i in go], doc[go])
         if not found:
             return _deal(np.zeros(0, np.int64), [doc[:0]], 0)
         i, a, b = (np.array(c, np.int64) for c in zip(*found, strict=True))
         i = go[i]
-        begin = pos[i].astype(np.int64) - before[i]
-        return _deal(_bucket(doc[i], buckets), [doc[i], tag[i], (begin + a).astype(np.uint32), (begin + b).astype(np.uint32)], 2)
+        at = pd.DataFrame({"gram": gram[i], "context": context[i], "a": a - before[i], "b": b - before[i]})
+        doc, tag, pos = doc[i], tag[i], pos[i].astype(np.int64)
+        if len(waiting):
+            # equal contexts have their gram at the same place
+            others = pd.DataFrame(dict(zip(("doc", "tag", "pos", "gram", "context"), _together(waiting), strict=True)))
+            others = others.merge(at, on=["gram", "context"])
+            doc, tag, pos = (np.r_[x, others[c].to_numpy(x.dtype)] for x, c in ((doc, "doc"), (tag, "tag"), (pos, "pos")))
+            at = pd.concat([at, others[["a", "b"]]])
+        a, b = (at[c].to_numpy(np.int64) for c in "ab")
+        return _deal(_bucket(doc, buckets), [doc, tag, (pos + a).astype(np.uint32), (pos + b).astype(np.uint32)], 2)
 
     return run
 
@@ -504,7 +518,7 @@ def dedup_spans(docs: DataFrame) -> DataFrame:
 
     going = lists.where("kind = 1")
     contexts = of(_ids(going)).groupBy("bin").cogroup(going.groupBy("bin")).applyInPandas(lambda k, a, b: _contexts(k, a, b, bins), ROW)
-    more = settle(contexts.groupBy("bin").applyInPandas(_search(bins), ROW), "suffix-spans")
+    more = settle(contexts.union(lists.where("kind = 3")).groupBy("bin").applyInPandas(_search(bins), ROW), "suffix-spans")
 
     spans = lists.where("kind = 0").union(more)
     ids = _ids(spans)

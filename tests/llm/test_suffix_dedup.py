@@ -72,6 +72,18 @@ def test_against_brute_force(docs, monkeypatch):
     assert got == brute(rows)
 
 
+def test_every_place_in_the_smallest_document(docs):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    sentence = word(60)
+    paragraph = word(90) + sentence + word(90)
+    rows = [(1, "y" * 60), (2, "y" * 500), (3, word(40) + sentence + word(40)), (4, paragraph + word(70) + paragraph + word(9) + paragraph)]
+    rows += [(4, paragraph), (5, word(30) + "-" * 60 + word(30)), (6, "-" * 300 + word(99) + "-" * 300), (7, paragraph + "-" * 200)]
+    got = sorted((str(r[0]), *r[1:]) for r in sd.dedup_spans(docs(rows)).collect())
+    assert got == brute(rows)
+    assert [r for r in got if r[0] == "2"][0][2] == 500
+
+
 def test_odd(odd, none):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
     small = [(d, t) for d, t in rows if len(t or "") < 50_000]
