@@ -15,7 +15,8 @@ or cut improves. Segment scores become E-values, K n exp(-lambda S), with
 lambda from the clean training documents' score distribution and K from an
 extreme-value (Gumbel) fit of their best segments. The evidence of the
 significant segments is summed per document and mapped to a probability by a
-logistic fit on the training documents.
+logistic fit on the training documents, weighted so that each class counts as
+often as it does among all labels, however many of it were sampled.
 
 The model is a closure of at most ``max_terms`` tokens and six numbers.
 Scoring shuffles nothing and reads nothing but the text.
@@ -31,6 +32,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -163,13 +165,13 @@ def _solve_lambda(steps: np.ndarray, share: np.ndarray) -> float:
     return (lo + hi) / 2
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, float]:
-    """Slope and bias by Newton steps with a weak ridge."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 60) -> tuple[float, float]:
+    """Slope and bias by Newton steps with a weak ridge; each row counts ``weight`` times."""
     xs = np.stack([x, np.ones_like(x)], axis=1)
     w, ridge = np.zeros(2), np.diag([1e-2, 1e-4])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(xs @ w, -30, 30)))
-        step = np.linalg.solve((xs * (p * (1 - p))[:, None]).T @ xs + ridge, xs.T @ (y - p) - ridge @ w)
+        step = np.linalg.solve((xs * (weight * p * (1 - p))[:, None]).T @ xs + ridge, xs.T @ (weight * (y - p)) - ridge @ w)
         w = w + np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-9:
             break
@@ -238,8 +240,11 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, max_terms: i
     model.log_k = max(-12.0, min(4.0, float(np.mean([model.lam * s - math.log(n) for n, s in peaks])) - 0.5772)) if peaks else 0.0
     x = np.array([evidence(r["n"], [(0, 0, s) for s in r["scores"]], model) for r in seen])
     y = np.array([r["toxic"] for r in seen], np.float64)
-    # the two classes count as often as they do among all labels
-    model.slope, model.bias = _logistic(np.log1p(x), y)
+    # the two classes count as often as they do among all labels; the rows' weights sum to their number
+    labelled = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    sampled = Counter(ids.values())
+    weight = np.where(y == 1, labelled[1] / sampled[1], labelled[0] / sampled[0])
+    model.slope, model.bias = _logistic(np.log1p(x), y, weight / weight.mean())
     return model
 
 

@@ -66,6 +66,29 @@ def test_held_out(docs, spark):
     assert [(a, b) for a, b, *_ in passages] == [(30, 31)]
 
 
+def test_sampled_classes_keep_their_shares(docs, spark):
+    rng = random.Random(7)
+    plain = ["".join(p) for p in itertools.product("bcd", "aei", "lmn", "ou")]
+    rows, labels = [], []
+    for k in range(900):
+        toxic = k % 9 == 0
+        words = [rng.choice(plain) for _ in range(60)]
+        # some clean documents have a slur as well, some toxic ones none
+        if rng.random() < (0.8 if toxic else 0.05):
+            words.insert(rng.randrange(60), "grumbag")
+        rows.append((k, " ".join(words)))
+        labels.append((k, 1, int(toxic)))
+    d, labels = docs(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+    def odds(max_docs):
+        model = tx.train(d, labels, max_docs=max_docs)
+        n, found = tx.segments("bal " * 30 + "grumbag " + "bal " * 30, model)
+        return [model.slope * np.log1p(x) + model.bias for x in (0.0, tx.evidence(n, found, model))]
+
+    whole, even = odds(4000), odds(100)  # even: 100 documents of each class, of 800 and 100
+    assert np.abs(np.subtract(whole, even)).max() < 1  # log(8) is 2.08
+
+
 def test_odd(odd, none, spark):
     labels = spark.createDataFrame([(4, 1, 1), (5, 1, 0), (None, 1, 1), (6, None, None)], "doc_id long, quality int, toxic int")
     model = tx.train(odd, labels)
