@@ -10,8 +10,9 @@ anew, by the model's own priorities, gives back exactly the two.
 
 No piece has a space mark after another character, hence no merge crosses
 such a place, nor a character that occurs in no piece of several characters:
-texts are cut there, and cuts that recur are encoded once (a cache of bounded
-size). Decoding works from the ids alone.
+texts are cut there, and cuts that recur are encoded once, and their ids
+decoded once (a cache of bounded bytes, given up at the end of a task's rows).
+Decoding works from the ids alone.
 
 Only the model file is read, with a small parser of its own; no library
 encodes or decodes. Models with a normalisation table, unigram models and
@@ -25,6 +26,7 @@ repeated rows give a row each. Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import struct
 from collections.abc import Iterator
@@ -37,10 +39,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import give_back, table
 
 MARK = "▁"  # stands for a space
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
+#: Bytes of remembered cuts and number of remembered pairs, of each worker.
+CACHE = 64 << 20
+PAIRS = 150_000
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
@@ -71,10 +76,41 @@ def _fields(b: bytes) -> Iterator[tuple[int, object]]:
         yield key >> 3, value
 
 
+class Cuts(dict):
+    """What is known of cuts: cut -> (number of ids, ids joined by commas, text decoded from the ids).
+
+    At most about ``most`` bytes; then it begins anew, and what the generation
+    before still has moves on as it recurs.
+    """
+
+    def __init__(self, codec: Codec, most: int):
+        super().__init__()
+        self.codec, self.most, self.spent = codec, most, 0
+        self.old: dict[str, tuple[int, str, str]] = {}
+
+    def __missing__(self, cut: str) -> tuple[int, str, str]:
+        got = self.old.get(cut)
+        if got is None:
+            ids = self.codec.ids_of_cut(cut)
+            got = (len(ids), ",".join([self.codec.digits[i] for i in ids]), self.codec.plain(ids))
+        if len(cut) <= 40:
+            cost = 400 + 4 * len(cut) + len(got[1])  # a slot, a tuple and three strings
+            if self.spent + cost > self.most // 2:
+                self.old, self.spent = dict(self), 0
+                self.clear()
+            self.spent += cost
+            self[cut] = got
+        return got
+
+    def forget(self) -> None:
+        self.clear()
+        self.old, self.spent = {}, 0
+
+
 class Codec:
-    """An encoder and decoder for one model file; ``cache`` bounds the remembered cuts."""
+    """An encoder and decoder for one model file; ``cache`` bounds the bytes of remembered cuts."""
 
-    def __init__(self, model: bytes, cache: int = 200_000):
+    def __init__(self, model: bytes, cache: int = CACHE):
         self.pieces: list[tuple[str, float, int]] = []
         settings: dict[int, dict[int, object]] = {}
         for number, value in _fields(model):
@@ -99,94 +135,115 @@ class Codec:
             self.cut = re.compile(r"(?s).+")
         else:
             self.cut = re.compile(f"{MARK}*[^{MARK}{inner}]+|{MARK}+" + (f"|[{inner}]" if inner else ""))
-        self.most, self.cuts, self.parts, self.pairs = cache, {}, {}, {}
-        self.old_cuts: dict[str, tuple[int, str]] = {}  # the generation before: what is still in use moves on
+        self.cuts, self.pairs = Cuts(self, cache), {}
         self.machine = ahocorasick.Automaton()
-        for p in self.id:
-            self.machine.add_word(p, len(p))
+        for p, i in self.id.items():
+            self.machine.add_word(p, i)
         self.machine.make_automaton()
+        self.length = [len(p) for p, _, _ in self.pieces]
+        self.digits = [str(i) for i in range(len(self.pieces))]
+        shown = {CONTROL: lambda p: "", UNKNOWN: lambda p: self.unknown_surface, BYTE: lambda p: None}
+        self.surface = [shown.get(k, lambda p: p.replace(MARK, " "))(p) for p, _, k in self.pieces]
+        self.lead = [n - 1 for n in self.length]  # from a piece's last character back to its first
 
     @cached_property
-    def shorter(self) -> dict[str, str | None]:
-        """The longest piece that is a proper prefix of a piece."""
-        out = {}
-        for p in self.id:
+    def shorter(self) -> list[int]:
+        """By piece id, the longest piece that is a proper prefix of the piece, or -1."""
+        out = [-1] * len(self.pieces)
+        for p, i in self.id.items():
             q = p[:-1]
             while q and q not in self.id:
                 q = q[:-1]
-            out[p] = q or None
+            if q:
+                out[i] = self.id[q]
         return out
 
-    def merged(self, text: str) -> list[str]:
-        """The pieces of a short string by merging anew: best rank first, leftmost first."""
+    def merged(self, text: str, edge: int = -1) -> list[str]:
+        """The pieces of a short string by merging anew: best rank first, leftmost first.
+
+        With an ``edge``, a merge over this place ends it: nothing comes back.
+        """
+        get, none = self.rank.get, math.inf
         parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                r = self.rank.get(parts[i] + parts[i + 1])
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
+        ranks = [get(x + y, none) for x, y in zip(parts, parts[1:], strict=False)]
+        while ranks:
+            best = min(ranks)
+            if best == none:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            at = ranks.index(best)
+            if edge >= 0 and sum(map(len, parts[: at + 1])) == edge:
+                return []
+            both = parts[at] + parts[at + 1]
+            parts[at : at + 2] = [both]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = get(parts[at - 1] + both, none)
+            if at < len(ranks):
+                ranks[at] = get(both + parts[at + 1], none)
         return parts
 
-    def compatible(self, a: str, b: str) -> bool:
-        key = (a, b)
-        ok = self.pairs.get(key)
-        if ok is None:
-            if len(self.pairs) >= self.most:
-                self.pairs.clear()
-            ok = self.pairs[key] = self.merged(a + b) == [a, b]
+    def compatible(self, a: int, b: int) -> bool:
+        """Whether merging the characters of two adjacent pieces anew gives the two back."""
+        x, y = self.pieces[a][0], self.pieces[b][0]
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        ok = self.pairs[a << 32 | b] = self.merged(x + y, len(x)) == [x, y]
         return ok
 
-    def split(self, text: str) -> list[str]:
-        """The pieces of one cut; characters that are no piece stand alone."""
+    def split(self, text: str) -> list[int]:
+        """The piece ids of one cut; a character that begins no piece stands as -1 - its code point."""
         n = len(text)
-        longest: list[str | None] = [None] * n
-        for end, k in self.machine.iter(text):
-            begin = end - k + 1
-            if longest[begin] is None or len(longest[begin]) < k:
-                longest[begin] = text[begin : end + 1]
-        dead = bytearray(n // 8 + 1)  # positions from which no encoding exists
-        out: list[str] = []
+        longest = [-1] * n
+        lead, length, shorter, known = self.lead, self.length, self.shorter, self.pairs
+        for end, i in self.machine.iter(text):
+            longest[end - lead[i]] = i  # ends go up, so the longest piece comes last
+        if n and longest[0] >= 0 and length[longest[0]] == n:
+            return [longest[0]]
+        dead = bytearray(n // 8 + 1)  # bits of positions from which no encoding exists
+        out: list[int] = []
         at = 0
-        nxt = longest[0] if n else None
+        nxt = longest[0] if n else -1
         while at < n:
-            last = out[-1] if out else None
-            done = False
-            if longest[at] is None:  # no piece begins here: the character goes to bytes
-                out.append(text[at])
+            if longest[at] < 0:  # no piece begins here: the character goes to bytes
+                out.append(-1 - ord(text[at]))
                 at += 1
-                nxt = longest[at] if at < n else None
+                nxt = longest[at] if at < n else -1
+                continue
+            last = out[-1] if out else -1
+            while nxt >= 0:
+                end = at + length[nxt]
+                if not dead[end >> 3] >> (end & 7) & 1:
+                    if last < 0:
+                        break
+                    ok = known.get(last << 32 | nxt)
+                    if ok is None:
+                        ok = self.compatible(last, nxt)
+                    if ok:
+                        break
+                nxt = shorter[nxt]
+            if nxt >= 0:
+                out.append(nxt)
+                at = end
+                nxt = longest[at] if at < n else -1
                 continue
-            piece = nxt
-            while piece is not None:
-                end = at + len(piece)
-                if not dead[end >> 3] >> (end & 7) & 1 and (last is None or last not in self.id or self.compatible(last, piece)):
-                    out.append(piece)
-                    at = end
-                    nxt = longest[at] if at < n else None
-                    done = True
-                    break
-                piece = self.shorter[piece]
-            if not done:
-                dead[at >> 3] |= 1 << (at & 7)
-                if not out:
-                    raise ValueError("the model has no encoding of a text of its own characters")
-                back = out.pop()
-                at -= len(back)
-                nxt = self.shorter[back] if back in self.id else None
+            dead[at >> 3] |= 1 << (at & 7)
+            if not out:
+                raise ValueError("the model has no encoding of a text of its own characters")
+            back = out.pop()
+            at -= length[back] if back >= 0 else 1
+            nxt = shorter[back] if back >= 0 else -1
         return out
 
     def ids_of_cut(self, cut: str) -> list[int]:
+        found = self.split(cut)
+        if not found or min(found) >= 0:
+            return found
         ids = []
-        for p in self.split(cut):
-            i = self.id.get(p)
-            if i is not None:
+        for i in found:
+            if i >= 0:
                 ids.append(i)
             elif self.byte:
-                ids.extend(self.byte[b] for b in p.encode("utf-8", "surrogatepass"))
+                ids.extend(self.byte[b] for b in chr(-1 - i).encode("utf-8", "surrogatepass"))
             elif not ids or ids[-1] != self.unknown:  # unknown characters in a row are one
                 ids.append(self.unknown)
         return ids
@@ -197,40 +254,27 @@ class Codec:
         text = text.replace(" ", MARK)
         return MARK + text if text and self.prefix else text
 
-    def encoded(self, text: str) -> list[tuple[int, str]]:
-        """(number of ids, ids joined by commas) of each cut of a whole text."""
-        known, out = self.cuts, []
-        for cut in self.cut.findall(self.prepared(text)):
-            got = known.get(cut)
-            if got is None:
-                got = self.old_cuts.get(cut)
-                if got is None:
-                    ids = self.ids_of_cut(cut)
-                    got = (len(ids), ",".join(map(str, ids)))
-                if len(cut) <= 40:
-                    if len(known) >= self.most:
-                        self.old_cuts, self.cuts = known, {}
-                        known = self.cuts
-                    known[cut] = got
-            out.append(got)
-        return out
+    def encoded(self, text: str) -> list[tuple[int, str, str]]:
+        """(number of ids, ids joined by commas, their text) of each cut of a whole text."""
+        return list(map(self.cuts.__getitem__, self.cut.findall(self.prepared(text))))
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(i) for _, s in self.encoded(text or "") for i in s.split(",")]
+        return [int(i) for _, s, _ in self.encoded(text or "") for i in s.split(",")]
 
-    def _plain(self, ids: list[int]) -> str:
-        """Decoded text of ids, with space marks."""
+    def plain(self, ids: list[int]) -> str:
+        """Decoded text of ids, the space that the first mark stands for included."""
+        parts = [self.surface[i] for i in ids]
+        if None not in parts:
+            return "".join(parts)
         out, raw = [], bytearray()
-        for i in ids:
-            b = self.byte_of.get(i)
-            if b is not None:
-                raw.append(b)
+        for i, part in zip(ids, parts, strict=True):
+            if part is None:
+                raw.append(self.byte_of[i])
                 continue
             if raw:
                 out.append(_bytes_text(bytes(raw)))
                 raw.clear()
-            p, _, kind = self.pieces[i]
-            out.append("" if kind == CONTROL else self.unknown_surface if kind == UNKNOWN else p.replace(MARK, " "))
+            out.append(part)
         if raw:
             out.append(_bytes_text(bytes(raw)))
         return "".join(out)
@@ -241,22 +285,17 @@ class Codec:
 
     def decode(self, ids: list[int]) -> str:
         shown = [i for i in ids if self.pieces[i][2] != CONTROL]
-        return self._plain(ids)[1 if shown and self._leads(shown[0]) else 0 :]
-
-    def decoded(self, cuts: list[str]) -> str:
-        """The text of ids given as comma-joined runs, each of whole characters."""
-        known, out = self.parts, []
-        for s in cuts:
-            got = known.get(s)
-            if got is None:
-                got = self._plain([int(i) for i in s.split(",")])
-                if len(s) <= 120:
-                    if len(known) >= self.most:
-                        known.clear()
-                    known[s] = got
-            out.append(got)
-        lead = bool(cuts) and self._leads(int(cuts[0].partition(",")[0]))
-        return "".join(out)[1 if lead else 0 :]
+        return self.plain(ids)[1 if shown and self._leads(shown[0]) else 0 :]
+
+    def decoded(self, got: list[tuple[int, str, str]]) -> str:
+        """The text of encoded cuts: what their ids, each cut's of whole characters, decode to."""
+        lead = bool(got) and self._leads(int(got[0][1].partition(",")[0]))
+        return "".join([text for _, _, text in got])[1 if lead else 0 :]
+
+    def forget(self) -> None:
+        """Give up what is remembered of texts."""
+        self.cuts.forget()
+        self.pairs.clear()
 
 
 def _bytes_text(raw: bytes) -> str:
@@ -309,10 +348,13 @@ def encoded(text: Column, path: str) -> Column:
         for texts in parts:
             rows = []
             for t in texts:
-                runs = [s for _, s in c.encoded(t or "")]
-                ids = np.fromstring(",".join(runs), np.int32, sep=",") if runs else np.zeros(0, np.int32)
-                rows.append((len(ids), ids, c.decoded(runs) == (t or "")))
+                got = c.encoded(t or "")
+                ids = np.fromstring(",".join([s for _, s, _ in got]), np.int32, sep=",") if got else np.zeros(0, np.int32)
+                rows.append((len(ids), ids, c.decoded(got) == (t or "")))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids", "exact"])
+            rows = got = ids = None
+        c.forget()
+        give_back()
 
     kind = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("exact", T.BooleanType())])
     return F.pandas_udf(run, kind)(text)
@@ -327,9 +369,10 @@ def digests(text: Column, path: str) -> Column:
             rows = []
             for t in texts:
                 got = c.encoded(t or "")
-                runs = [s for _, s in got]
-                rows.append((sum(n for n, _ in got), _hex(",".join(runs)), _hex(c.decoded(runs))))
+                rows.append((sum([n for n, _, _ in got]), _hex(",".join([s for _, s, _ in got])), _hex(c.decoded(got))))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        c.forget()
+        give_back()
 
     kind = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
     return F.pandas_udf(run, kind)(text)
