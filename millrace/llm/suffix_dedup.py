@@ -10,8 +10,13 @@ that can matter are sorted:
    anchor, so two equal windows hold equal anchors at equal places. An anchor
    is described by the hash of its gram and the hash of all bytes that windows
    around it can reach (its context).
-2. Anchors meet by gram hash, packed in arrays. If the whole context also
-   occurs in a smaller document, all of it is removed. If a gram has several
+2. A task that reads texts combines its anchors first: places whose whole
+   context it has already in a smaller document are settled there and then,
+   so a passage in a third of all documents sends on one anchor a context and
+   ``HELD`` anchors read. The rest meet by gram hash, packed in arrays. If the
+   whole context also occurs in a smaller document, all of it is removed; this
+   is decided by the hashes of gram and context, not by comparing bytes. If a
+   gram has several
    different contexts, one anchor of each (in its smallest document) goes on;
    the context's other places in that document wait for what is found for it.
 3. The contexts that go on are put into shards, and per shard a suffix array
@@ -43,14 +48,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, table
+from .common import give_back, settle, table
 
 SPAN = 50
 GRAM = 16
 SIDE = SPAN - GRAM  # bytes that a window reaches beyond the gram on either side
 REACH = SPAN + SIDE  # a whole context
-BIN_BYTES = 16 << 20
-BATCH_BYTES = 2 << 20
+BIN_BYTES = 8 << 20
+BATCH_BYTES = 512 << 10
+#: Anchors that a task holds before it combines and deals them (32 bytes each).
+HELD = 600_000
 SHARD_BYTES = 2 << 20
 #: Lists of ids up to this many rows (8 bytes each) are broadcast, longer ones are joined by shuffle.
 SMALL = 500_000
@@ -173,8 +180,16 @@ def _anchor_rows(bins: int):
         def flush() -> pd.DataFrame:
             doc, tag, pos, gram, context = (np.concatenate(c) for c in zip(*held, strict=True))
             held.clear()
-            key = ((gram >> U(32)) % U(bins)).astype(np.int64)
-            return _deal(key, [doc, tag, pos, gram, context])
+            order = np.lexsort((doc, context, gram))
+            new = _heads(gram[order], context[order])
+            least = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+            told = doc[order] > least  # the same context stands in a smaller document of this task
+            sure, rest = order[told], order[~told]
+            # settled places only pass through the bins, dealt by document
+            return pd.concat([
+                _deal(_bucket(doc[sure], bins), [x[sure] for x in (doc, tag, pos)], 0),
+                _deal(((gram[rest] >> U(32)) % U(bins)).astype(np.int64), [x[rest] for x in (doc, tag, pos, gram, context)], 1),
+            ])
 
         def take(ids: list, texts: list) -> None:
             nonlocal size
@@ -195,13 +210,14 @@ def _anchor_rows(bins: int):
                 if n >= BATCH_BYTES:
                     take(ids, texts)
                     ids, texts, n = [], [], 0
-                    if size >= 1_500_000:
+                    if size >= HELD:
                         yield flush()
                         size = 0
             if texts:
                 take(ids, texts)
         if held:
             yield flush()
+        give_back()
 
     return run
 
@@ -219,7 +235,13 @@ def _heads(*keys: np.ndarray) -> np.ndarray:
 
 def _meet(buckets: int):
     def run(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
-        doc, tag, pos, gram, context = _together(df["blob"])
+        settled = [pd.DataFrame({"bin": key[0], "kind": 0, "blob": df["blob"][df["kind"] == 0]})]
+        blobs = df["blob"][df["kind"] == 1].tolist()
+        del df
+        if not blobs:
+            return settled[0]
+        doc, tag, pos, gram, context = _together(blobs)
+        blobs.clear()
         order = np.lexsort((doc, context, gram))
         doc, tag, pos, gram, context = (x[order] for x in (doc, tag, pos, gram, context))
         new = _heads(gram, context)
@@ -231,11 +253,13 @@ def _meet(buckets: int):
         open_ = ~covered & many[np.cumsum(heads) - 1]
         go, more = open_ & new, open_ & ~new
         bucket = _bucket(doc, buckets)
-        return pd.concat([
+        out = pd.concat(settled + [
             _deal(bucket[covered], [doc[covered], tag[covered], pos[covered]], 0),
             _deal(bucket[go], [doc[go], tag[go], pos[go], gram[go], context[go]], 1),
             _deal(np.full(more.sum(), key[0], np.int64), [doc[more], tag[more], pos[more], gram[more], context[more]], 3),
         ])
+        give_back()
+        return out
 
     return run
 
@@ -402,6 +426,7 @@ def _contexts(key: tuple, docs: pd.DataFrame, lists: pd.DataFrame, bins: int) ->
     doc, tag, pos, gram, context = _together(lists["blob"])
     raws = [t.encode("utf-8", "surrogatepass") for t in docs["text"]]
     text = {(int(d), zlib.crc32(r)): r for d, r in zip(docs["doc_id"], raws, strict=True)}
+    del docs, lists, raws
     rows = [(text[d, t], p) for d, t, p in zip(doc.tolist(), tag.tolist(), pos.tolist(), strict=True)]
     begin = np.array([max(0, p - SIDE) for _, p in rows], np.int64)
     parts = [r[b : p + SPAN] for (r, p), b in zip(rows, begin.tolist(), strict=True)]
@@ -409,7 +434,10 @@ def _contexts(key: tuple, docs: pd.DataFrame, lists: pd.DataFrame, bins: int) ->
     flat = np.zeros((len(parts), REACH), np.uint8)
     flat[np.arange(REACH) < size[:, None]] = np.frombuffer(b"".join(parts), np.uint8)
     columns = [doc, tag, pos, gram, context, size, flat.view(f"V{REACH}").ravel()]
-    return _deal(((gram >> U(32)) % U(bins)).astype(np.int64), columns, 2)
+    del text, rows, parts
+    out = _deal(((gram >> U(32)) % U(bins)).astype(np.int64), columns, 2)
+    give_back()
+    return out
 
 
 def _search(buckets: int):
@@ -483,6 +511,8 @@ def _cut(key: tuple, docs: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
             runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
             kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
         out.append((d, n, n - len(kept), runs, hashlib.sha256(kept).hexdigest()))
+    del edges
+    give_back()
     return pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]).astype({"n_bytes": "int64", "n_removed": "int64", "n_spans": "int64"})
 
 
@@ -490,12 +520,12 @@ ROW = "bin long, kind int, blob binary"
 
 
 def _ids(lists: DataFrame) -> DataFrame:
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in parts:
-            for b in df["blob"]:
-                yield pd.DataFrame({"doc_id": np.unique(unpack(b)[0])})
+    """The documents that lists of buckets name, once each: all places of a document are in its bucket."""
+
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"doc_id": np.unique(np.concatenate([np.unique(unpack(b)[0]) for b in df["blob"]]))})
 
-    return settle(lists.mapInPandas(run, "doc_id long").distinct(), "suffix-ids")
+    return settle(lists.groupBy("bin").applyInPandas(run, "doc_id long"), "suffix-ids")
 
 
 def dedup_spans(docs: DataFrame) -> DataFrame:

@@ -90,3 +90,18 @@ def test_odd(odd, none):
     got = sorted((str(r[0]), *r[1:]) for r in sd.dedup_spans(odd).collect() if r["n_bytes"] < 50_000)
     assert got == brute(small)
     assert sd.dedup_spans(none).count() == 0
+
+
+def test_one_passage_in_a_third_of_the_documents(docs, monkeypatch):
+    monkeypatch.setattr(sd, "BIN_BYTES", 4000)
+    monkeypatch.setattr(sd, "BATCH_BYTES", 1000)
+    monkeypatch.setattr(sd, "HELD", 200)
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcdefghijkl ") for _ in range(n))
+    passage = word(160)
+    rows = []
+    for k in range(120):
+        own = [word(rng.randrange(30, 120)), word(rng.randrange(30, 120))]
+        rows.append((rng.choice([k, 500 - k]), passage.join(own) if k % 3 == 0 else "".join(own)))
+    got = sorted((str(r[0]), *r[1:]) for r in sd.dedup_spans(docs(rows)).collect())
+    assert got == brute(rows)
