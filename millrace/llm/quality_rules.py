@@ -2,14 +2,24 @@
 
 Each rule looks at one statistic of a text and votes good, votes bad or
 abstains. Nothing is labelled: expectation-maximisation over the counts of
-vote patterns estimates, per rule, how often it votes which way on good and on
-bad documents, and the share of good documents. A document's verdict is the
+vote patterns estimates, per rule, how often it votes bad on good and on bad
+documents, and the share of good documents. A document's verdict is the
 posterior probability of "good" given its votes, instead of "every rule must
-pass".
+pass": a bad vote of a rule that seldom has others beside it (a short text, a
+line without its full stop) weighs little, several bad votes settle it, and an
+abstention says nothing.
+
+Which class is which, and what a rule's bad votes mean where no other rule ever
+speaks with it, patterns alone cannot tell. So rates have priors: ``HABIT`` is
+how often each rule is believed to vote bad on good documents, ``CATCH`` on bad
+ones. A prior counts as a fixed share of its class's documents (``TRUST``), so
+verdicts are alike at every size. No rate is cut off and no verdict is set by
+hand: data overrule priors.
 
 The corpus is read once for the statistics. What reaches the driver is the
 count of each vote pattern, at most ``3 ** len(RULES)`` numbers whatever the
-corpus size. The statistics need no shuffle.
+corpus size. The statistics need no shuffle, and the posterior is a sum of
+one weight a rule, also for patterns that were never counted.
 
 Defined results: a null text counts as empty (no words, hence rejected); a
 null doc_id is kept as null; repeated rows give a row each; an empty table
@@ -20,9 +30,11 @@ added columns are named by the caller.
 
 from __future__ import annotations
 
-import math
+import operator
+import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -30,12 +42,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACES, settle
+from .common import SPACES, give_back, settle, spread
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
-STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_ended", "n_upper", "n_lower", "n_bangs", "n_top")
+STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_ended", "n_upper", "n_lower", "n_bangs", "n_top", "n_echoes", "n_distinct", "n_letters", "n_mark_runs")
 GOOD, BAD, ABSTAIN = 1, 0, 2
+#: A mark that is neither letter, digit nor space, and its repeats.
+MARKS = re.compile(r"([^\w\s])\1+")
 
 
 def repeated_window_words(words: list, window: int = WINDOW) -> int:
@@ -79,8 +93,12 @@ def text_stats(text: str | None) -> tuple:
     small = text.lower()
     changed = sum(map(str.__ne__, text, small)) if len(text) == len(small) and small != text else 0
     cased = sum(map(str.__ne__, small, small.upper())) if len(small) == len(small.upper()) else len(small)
-    top = max(Counter(words).values(), default=0)
-    return (n, word_chars, sum(text.count(c) for c in SYMBOLS), dup, repeated_window_words(words), lines, ended, changed, max(0, cased - changed), text.count("!"), top)
+    often = Counter(words)
+    top = max(often.values(), default=0)
+    echoes = sum(map(operator.eq, words, words[1:]))
+    letters = len("".join(filter(str.isalpha, text)))
+    runs = sum(m.end() - m.start() - 1 for m in MARKS.finditer(text))
+    return (n, word_chars, sum(text.count(c) for c in SYMBOLS), dup, repeated_window_words(words), lines, ended, changed, max(0, cased - changed), text.count("!"), top, echoes, len(often), letters, runs)
 
 
 def _share(x: str, of: str, good: float, bad: float, high_is_bad: bool = True):
@@ -97,7 +115,7 @@ def _share(x: str, of: str, good: float, bad: float, high_is_bad: bool = True):
 
 def _length(s: dict) -> np.ndarray:
     n = s["n_words"].to_numpy()
-    return np.where(n < 20, BAD, np.where(n >= 30, GOOD, ABSTAIN))
+    return np.where(n < 40, BAD, np.where(n >= 60, GOOD, ABSTAIN))
 
 
 def _word_length(s: dict) -> np.ndarray:
@@ -117,7 +135,16 @@ RULES = {
     "capitals": _share("n_upper", "n_lower", 0.3, 1.0),
     "bangs": _share("n_bangs", "n_words", 0.1, 0.4),
     "top_word": _share("n_top", "n_words", 0.2, 0.35),
+    "echoes": _share("n_echoes", "n_words", 0.05, 0.2),
+    "variety": _share("n_distinct", "n_words", 0.55, 0.3, False),
+    "letters": _share("n_letters", "word_chars", 0.93, 0.8, False),
+    "mark_runs": _share("n_mark_runs", "n_words", 0.02, 0.2),
 }
+#: Believed shares of bad votes on good documents, where above ``HABIT_ELSE``: clean texts may be short, or lack full stops.
+HABIT = {"length": 0.05, "endings": 0.05, "top_word": 0.02, "variety": 0.02, "word_length": 0.02, "letters": 0.02}
+HABIT_ELSE, CATCH, SHARE = 0.001, 0.1, 0.9
+#: What the priors weigh, of all: of the rates on good documents, on bad ones, and of the share of good ones.
+TRUST = (0.8, 0.5, 0.5)
 
 
 def votes(stats: pd.DataFrame) -> np.ndarray:
@@ -137,6 +164,7 @@ def _stats(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         out = pd.DataFrame([text_stats(t) for t in texts], columns=list(STATS), dtype=np.int64)
         out["pattern"] = pattern_code(votes(out)) if len(out) else np.zeros(0, np.int64)
         yield out
+    give_back()
 
 
 def quality_stats(text: Column) -> Column:
@@ -145,46 +173,67 @@ def quality_stats(text: Column) -> Column:
     return F.pandas_udf(_stats, kind)(text)
 
 
-def fit(counts: dict[int, int], rounds: int = 200, tol: float = 1e-9, false_alarm: float = 0.001, sure: float = 0.95) -> dict[int, float]:
-    """Posterior probability of good for each vote pattern, by EM over pattern counts.
+@dataclass
+class Model:
+    """share: of good documents; habit, catch: each rule's rate of bad votes on good and on bad ones."""
+
+    share: float
+    habit: np.ndarray
+    catch: np.ndarray
+
+    def weights(self) -> tuple[float, np.ndarray]:
+        """The log-odds of good before any vote, and those that each vote (BAD, GOOD, ABSTAIN) of each rule adds."""
+        added = np.stack([np.log(self.habit / self.catch), np.log((1 - self.habit) / (1 - self.catch)), np.zeros(len(self.habit))])
+        return float(np.log(self.share / (1 - self.share))), added
+
+    def posterior(self, v: np.ndarray) -> np.ndarray:
+        prior, added = self.weights()
+        odds = prior + added[v, np.arange(v.shape[1])].sum(axis=1)
+        return 1 / (1 + np.exp(-np.clip(odds, -700, 700)))
+
 
-    The start takes documents without a bad vote as good. Each rule keeps its
-    orientation: it may not vote bad more often on good than on bad documents,
-    and on good ones at most ``false_alarm`` of the time: kinds of junk that trip
-    one rule alone would else pass as a habit of that rule on good documents.
-    Where no vote says bad and some say good, they are taken at their word (at
-    least ``sure``): junk that never trips two rules could else be chance.
+def learn(v: np.ndarray, w: np.ndarray, habit: np.ndarray, rounds: int = 500, tol: float = 1e-10) -> Model:
+    """EM over vote patterns ``v`` (patterns x rules) that ``w`` documents have; begins at the priors.
+
+    A rule may not vote bad more often on good documents than on bad ones.
     """
-    if not counts:
-        return {}
-    codes = sorted(counts)
-    v = np.array([pattern_votes(c) for c in codes])
-    w = np.array([counts[c] for c in codes], np.float64)
-    hot = np.stack([v == k for k in (BAD, GOOD, ABSTAIN)]).astype(np.float64)  # 3 x patterns x rules
-    agreed = ~(v == BAD).any(axis=1) & (v == GOOD).any(axis=1)
-    post = np.where((v == BAD).any(axis=1), 0.05, 0.99)
-    last = -np.inf
+    catch = np.full(len(habit), CATCH)
+    now = Model(SHARE, habit, np.maximum(habit, catch))
+    bad, good = (v == BAD).astype(np.float64), (v == GOOD).astype(np.float64)
+
+    def rate(weight: np.ndarray, believed: np.ndarray, trust: float) -> np.ndarray:
+        x, y = weight @ bad, weight @ good
+        seen = np.divide(x, x + y, out=believed.copy(), where=x + y > 0)
+        return (1 - trust) * seen + trust * believed
+
     for _ in range(rounds):
-        loglik = []
-        for p in (post, 1 - post):
-            q = np.einsum("p,kpr->kr", w * p, hot) + np.array([[1.0], [1.0], [1.0]])  # Dirichlet(2)
-            loglik.append(q / q.sum(axis=0))
-        good, bad = loglik
-        wrong = good[BAD] > bad[BAD]
-        mid = (good + bad) / 2
-        good, bad = np.where(wrong, mid, good), np.where(wrong, mid, bad)
-        over = np.maximum(good[BAD] - false_alarm, 0)
-        good = good + np.stack([-over, over, 0 * over])  # to the good votes
-        prior = ((w * post).sum() + 1) / (w.sum() + 2)
-        lg = np.log(prior) + np.einsum("kpr,kr->p", hot, np.log(good))
-        lb = np.log(1 - prior) + np.einsum("kpr,kr->p", hot, np.log(bad))
-        post = 1 / (1 + np.exp(np.clip(lb - lg, -700, 700)))
-        post = np.where(agreed, np.maximum(post, sure), post)
-        now = float((w * np.logaddexp(lg, lb)).sum())
-        if math.isfinite(last) and abs(now - last) <= tol * abs(now):
+        p = now.posterior(v)
+        found = rate(w * p, habit, TRUST[0]), rate(w * (1 - p), catch, TRUST[1])
+        share = (1 - TRUST[2]) * float((w * p).sum() / w.sum()) + TRUST[2] * SHARE
+        then = Model(share, np.minimum(*found), found[1])
+        moved = max(abs(then.share - now.share), np.abs(then.habit - now.habit).max(), np.abs(then.catch - now.catch).max())
+        now = then
+        if moved < tol:
             break
-        last = now
-    return {int(c): float(p) for c, p in zip(codes, post, strict=True)}
+    return now
+
+
+def learn_rules(counts: dict[int, int]) -> Model:
+    """The model of ``RULES`` from the counts of their vote patterns; without counts, the priors."""
+    habit = np.array([HABIT.get(name, HABIT_ELSE) for name in RULES])
+    if not counts:
+        return Model(SHARE, habit, np.full(len(habit), CATCH))
+    codes = sorted(counts)
+    return learn(np.array([pattern_votes(c) for c in codes]), np.array([counts[c] for c in codes], np.float64), habit)
+
+
+def fit(counts: dict[int, int]) -> dict[int, float]:
+    """Posterior probability of good for each vote pattern that was counted."""
+    codes = sorted(counts)
+    if not codes:
+        return {}
+    p = learn_rules(counts).posterior(np.array([pattern_votes(c) for c in codes]))
+    return {int(c): float(x) for c, x in zip(codes, p, strict=True)}
 
 
 def pattern_counts(patterns: DataFrame) -> dict[int, int]:
@@ -192,12 +241,14 @@ def pattern_counts(patterns: DataFrame) -> dict[int, int]:
     return {r["pattern"]: r["n"] for r in patterns.groupBy("pattern").agg(F.count("*").alias("n")).collect()}
 
 
-def _posterior(pattern: Column, model: dict[int, float]) -> Column:
-    """A lookup in a sorted array of at most 3 ** len(RULES) patterns."""
-    if not model:
-        return F.lit(0.0)
-    m = F.create_map(*[F.lit(x) for kv in sorted(model.items()) for x in kv])
-    return F.coalesce(m[pattern], F.lit(0.0))
+def _posterior(pattern: Column, model: Model) -> Column:
+    """The model's posterior as a sum over the votes that a pattern holds."""
+    prior, added = model.weights()
+    odds = F.lit(prior)
+    for k in range(added.shape[1]):
+        vote = F.floor(pattern / F.lit(3**k)).cast("int") % 3
+        odds = odds + F.element_at(F.array(*[F.lit(float(x)) for x in added[:, k]]), vote + 1)
+    return 1 / (1 + F.exp(-odds))
 
 
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
@@ -206,8 +257,8 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
 
 def score_quality(docs: DataFrame, keep_at: float = 0.5) -> DataFrame:
     """One row per document: doc_id, the statistics, probability, base_failed, kept."""
-    stats = settle(docs.select("doc_id", quality_stats(F.col("text")).alias("q")).select("doc_id", "q.*"), "quality")
-    p = _posterior(F.col("pattern"), fit(pattern_counts(stats)))
+    stats = settle(spread(docs.select("doc_id", "text")).select("doc_id", quality_stats(F.col("text")).alias("q")).select("doc_id", "q.*"), "quality")
+    p = _posterior(F.col("pattern"), learn_rules(pattern_counts(stats)))
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
     return stats.withColumns({"p_good": p, "base_failed": failed}).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= keep_at))
 
@@ -219,9 +270,9 @@ def filter_good(docs: DataFrame, keep_at: float = 0.5) -> DataFrame:
     counts, once to decide.
     """
     q = "__quality"
-    counted = docs.select(quality_stats(F.col("text"))["pattern"].alias("pattern"))
-    model = fit(pattern_counts(counted))
-    seen = docs.withColumn(q, quality_stats(F.col("text")))
+    counted = spread(docs.select("text")).select(quality_stats(F.col("text"))["pattern"].alias("pattern"))
+    model = learn_rules(pattern_counts(counted))
+    seen = spread(docs).withColumn(q, quality_stats(F.col("text")))
     keep = ~base_failed(F.col(q)["n_words"], F.col(q)["n_repeat_words"]) & (_posterior(F.col(q)["pattern"], model) >= keep_at)
     return seen.where(keep).drop(q)
 

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import give_back, table
+from .common import give_back, spread, table
 
 MARK = "▁"  # stands for a space
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -379,7 +379,7 @@ def digests(text: Column, path: str) -> Column:
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    return docs.select("doc_id", digests(F.col("text"), path).alias("d")).select("doc_id", "d.*")
+    return spread(docs.select("doc_id", "text")).select("doc_id", digests(F.col("text"), path).alias("d")).select("doc_id", "d.*")
 
 
 def op7_sentencepiece(spark, sf_dir: str) -> DataFrame:
