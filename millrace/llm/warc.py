@@ -8,6 +8,15 @@ version line, header, length and payload digest. After a failed check it
 searches for the next valid member (or version line in a plain file), goes on
 from there, and reports the bytes between as a quarantined gap.
 
+A member may hold many records. It is inflated as a stream, and only the record
+at hand is kept. A record that fails inside a member costs itself alone: the
+next version line is searched in the inflated bytes, and the gap is reported
+with its inner offsets. What a cut or broken member gave before its damage comes
+back too. Records of a member whose own check failed say so (``reason``): their
+payload digests hold, but nothing vouches for their headers. A member whose
+sum fails though each of its records passes is quarantined as a whole, since
+any header may be the damaged one.
+
 A write task names its files after its own attempt and lists them in a
 manifest once they are whole; only listed files are read, so a repeated task
 does no harm. Archives are rolled at ``ROLL`` bytes and read a file a task, in
@@ -34,13 +43,17 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, settle, table
+from .common import fresh_path, give_back, settle, table
 
 REVISIT_LEAST = 1000
 ROLL = 32 << 20
 VERSION = b"WARC/1.1"
 MAGIC = b"\x1f\x8b\x08"
 STEP = 1 << 18
+#: The longest header that is looked for.
+HEAD = 16 << 20
+#: What zlib says of a member that inflates to its end but has another sum or length.
+SUM = ("bad member: Error -3 while decompressing data: incorrect data check", "bad member: Error -3 while decompressing data: incorrect length check")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -102,39 +115,140 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
 
 
 class Source:
-    """Random access to an open file through a buffer."""
+    """Random access to an open file through a buffer of ``STEP`` bytes and more."""
 
     def __init__(self, f, size: int):
         self.f, self.size = f, size
+        self.start, self.held = 0, b""
+        self.found: dict[bytes, tuple[int, int]] = {}  # mark -> (searched from, place)
 
     def read(self, at: int, n: int) -> bytes:
-        self.f.seek(at)
-        return self.f.read(min(n, max(0, self.size - at)))
+        n = min(n, max(0, self.size - at))
+        if not self.start <= at <= at + n <= self.start + len(self.held):
+            self.f.seek(at)
+            self.start, self.held = at, self.f.read(min(max(n, STEP), max(0, self.size - at)))
+        return self.held[at - self.start : at - self.start + n]
 
     def find(self, what: bytes, at: int) -> int:
-        """The next place of ``what`` from ``at``, or -1."""
+        """The next place of ``what`` from ``at``, or the end of the file. A place found stays known until it is passed."""
+        since, place = self.found.get(what, (at, -1))
+        if not since <= at <= place:
+            since, place = at, self._search(what, at)
+        self.found[what] = since, place
+        return place
+
+    def _search(self, what: bytes, at: int) -> int:
         while at < self.size:
             part = self.read(at, STEP)
             k = part.find(what)
             if k >= 0:
                 return at + k
             at += max(1, len(part) - len(what) + 1) if at + len(part) < self.size else len(part)
-        return -1
+        return self.size
+
+
+class Member:
+    """The inflated bytes of the gzip member at ``at``, as a stream that forgets what is behind."""
+
+    def __init__(self, src: Source, at: int):
+        self.src, self.pos, self.z = src, at, zlib.decompressobj(31)
+        self.base, self.data, self.why = 0, b"", ""  # data begins at the inflated place base
+        self.done = False
+
+    def _more(self) -> bool:
+        """Inflate a step; at the end, ``why`` says what failed and pos is where the member ends."""
+        if self.done:
+            return False
+        part = self.z.unconsumed_tail or self.src.read(self.pos, STEP)
+        if not self.z.unconsumed_tail:
+            self.pos += len(part)
+        if not part:
+            self.done, self.why = True, "member without end"
+            return True
+        before = self.z.copy()
+        try:
+            self.data += self.z.decompress(part, 4 * STEP)
+        except zlib.error:
+            # again byte by byte, so that what comes before the damage is not lost
+            self.z, out = before, []
+            try:
+                for k in range(len(part)):
+                    out.append(self.z.decompress(part[k : k + 1]))
+            except zlib.error as e:
+                self.done, self.why = True, f"bad member: {e}"
+                if self.why.startswith(SUM):
+                    self.pos += k + 1 - len(part) + (4 if self.why == SUM[0] else 0)  # the length follows the sum
+            self.data += b"".join(out)
+        if self.z.eof:
+            self.done = True
+            self.pos -= len(self.z.unused_data)
+        return True
+
+    def reach(self, k: int) -> bool:
+        """Whether there are bytes up to the inflated place k."""
+        while self.base + len(self.data) < k and self._more():
+            pass
+        return self.base + len(self.data) >= k
+
+    def find(self, what: bytes, k: int) -> int:
+        """The next place of ``what`` from k, or -1 at the end."""
+        while True:
+            at = self.data.find(what, max(0, k - self.base))
+            if at >= 0:
+                return self.base + at
+            k = max(k, self.base + len(self.data) - len(what) + 1)
+            if not self._more():
+                return -1
+
+    def forget(self, k: int) -> None:
+        self.data, self.base = self.data[max(0, k - self.base) :], max(k, self.base)
+
+    def record(self, k: int) -> tuple[dict[str, str], bytes, int]:
+        """(header, block, end) of the record at the inflated place k."""
+        self.forget(k)
+        if not self.reach(k + 7) or not self.data.startswith(b"WARC/1."):
+            raise Damage("no version line")
+        while self.data.find(b"\r\n\r\n") < 0:
+            if len(self.data) > HEAD or not self._more():
+                raise Damage("header without end")
+        head = self.data.find(b"\r\n\r\n") + 4
+        self.reach(k + head + _length(self.data[:head]) + 4)
+        header, block, end = parse_record(self.data)
+        return header, block, k + end
+
+
+def _length(head: bytes) -> int:
+    """The content length that a header states, else 0."""
+    said = (x.split(b":")[1].strip() for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:"))
+    return next((int(x) for x in said if x.isdigit()), 0)
+
+
+def _inner(member: Member) -> Iterator[tuple]:
+    """("record", header, block) and ("gap", from, to, reason) of a member's inflated bytes, in order."""
+    k = 0
+    while member.reach(k + 1):
+        try:
+            header, block, end = member.record(k)
+        except Damage as e:
+            begin = k
+            k = member.find(b"WARC/1.", k + 1)
+            if k < 0:
+                yield "gap", begin, member.base + len(member.data), str(e)
+                return
+            member.forget(k)
+            yield "gap", begin, k, str(e)
+            continue
+        yield "record", header, block
+        k = end
 
 
-def _member(src: Source, at: int) -> tuple[bytes, int]:
-    """(content, end) of the gzip member at ``at``; raises Damage."""
-    z, out, pos = zlib.decompressobj(31), [], at
-    try:
-        while not z.eof:
-            part = src.read(pos, STEP)
-            if not part:
-                raise Damage("member without end")
-            out.append(z.decompress(part))
-            pos += len(part)
-    except zlib.error as e:
-        raise Damage(f"bad member: {e}") from None
-    return b"".join(out), pos - len(z.unused_data)
+def _vouched(src: Source, at: int) -> tuple[str, int, int, int]:
+    """(what failed, end, records, records that failed) of the member at ``at``; keeps no record."""
+    member, whole, failed = Member(src, at), 0, 0
+    for what, *_ in _inner(member):
+        whole += what == "record"
+        failed += what == "gap"
+    return member.why, member.pos, whole, failed
 
 
 def _plain(src: Source, at: int) -> tuple[dict[str, str], bytes, int]:
@@ -144,46 +258,56 @@ def _plain(src: Source, at: int) -> tuple[dict[str, str], bytes, int]:
         raise Damage("no version line")
     while data.find(b"\r\n\r\n") < 0:
         more = src.read(at + len(data), STEP)
-        if not more or len(data) > 64 * STEP:
+        if not more or len(data) > HEAD:
             raise Damage("header without end")
         data += more
     head = data.find(b"\r\n\r\n") + 4
-    n = next((int(x.split(b":")[1]) for x in data[:head].split(b"\r\n") if x.lower().startswith(b"content-length:") and x.split(b":")[1].strip().isdigit()), 0)
-    if len(data) < head + n + 4:
-        data += src.read(at + len(data), head + n + 4 - len(data))
+    n = head + _length(data[:head]) + 4
+    if len(data) < n:
+        data += src.read(at + len(data), n - len(data))
     header, block, end = parse_record(data)
     return header, block, at + end
 
 
 def salvage(f, size: int) -> Iterator[tuple]:
-    """("record", offset, header, block) and ("gap", offset, length, reason) of one archive, in order."""
+    """("record", offset, header, block) and ("gap", offset, length, reason) of one archive, in order.
+
+    A gap inside a member has the member's offset, its inflated length, and its
+    inner places in the reason. Headers of records from a member whose own check
+    failed have an entry ``salvaged`` with what failed.
+    """
     src, at, gap, why = Source(f, size), 0, None, ""
     while at < size:
-        packed = src.read(at, 3) == MAGIC
+        found: Iterator[tuple] = iter(())
+        note, broken = "", False
         try:
-            if packed:
-                content, end = _member(src, at)
-                found, k = [], 0
-                while k < len(content):
-                    header, block, k = parse_record(content, k)
-                    found.append((header, block))
-                if not found:
-                    raise Damage("empty member")
+            if src.read(at, 3) == MAGIC:
+                note, end, whole, failed = _vouched(src, at)
+                broken = bool(note) and not note.startswith(SUM)
+                if not whole or note.startswith(SUM) and not failed:
+                    raise Damage(note or "member without a record")
+                found = _inner(Member(src, at))
             else:
                 header, block, end = _plain(src, at)
-                found = [(header, block)]
+                found = iter([("record", header, block)])
         except Damage as e:
             if gap is None:
                 gap, why = at, str(e)
-            nexts = [x for x in (src.find(MAGIC, at + 1), src.find(b"WARC/1.", at + 1)) if x >= 0]
-            at = min(nexts, default=size)
+            at = min(src.find(MAGIC, at + 1), src.find(b"WARC/1.", at + 1))
             continue
         if gap is not None:
             yield "gap", gap, at - gap, why
             gap = None
-        for header, block in found:
-            yield "record", at, header, block
-        at = end
+        for what, a, b, *reason in found:
+            if what == "record":
+                yield "record", at, a | {"salvaged": note} if note else a, b
+            else:
+                yield "gap", at, b - a, f"inflated bytes {a} to {b}: {reason[0]}"
+        if broken:  # where it ends is unknown: what follows its start is searched
+            gap, why = at, f"{note}, after {whole} records"
+            at = min(src.find(MAGIC, at + 1), src.find(b"WARC/1.", at + 1))
+        else:
+            at = end
     if gap is not None:
         yield "gap", gap, size - gap, why
 
@@ -237,7 +361,8 @@ def read_archives(manifest: DataFrame) -> DataFrame:
     """Records and gaps of the listed archives, a file a task.
 
     Columns: path, offset, page_id, record_type ("gap" for quarantined bytes),
-    payload_bytes, payload_digest, refers_to, length and reason of gaps.
+    payload_bytes, payload_digest, refers_to, length of gaps, and reason of gaps and
+    of records from damaged members.
     """
     kind = "path string, offset long, page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long, length long, reason string"
     names = [x.split()[0] for x in kind.split(", ")]
@@ -256,11 +381,12 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                             n = next((int(x.split(b":")[1]) for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")), len(payload))
                             digest = a.get("warc-payload-digest", "")
                             digest = base64.b32decode(digest[5:]).hex() if digest.startswith("sha1:") else None
-                            rows.append((path, at, _page(a.get("warc-record-id")), a.get("warc-type"), n, digest, _page(a.get("warc-refers-to")), None, None))
+                            rows.append((path, at, _page(a.get("warc-record-id")), a.get("warc-type"), n, digest, _page(a.get("warc-refers-to")), None, a.get("salvaged")))
                         if len(rows) >= 5000:
                             yield pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "payload_bytes": "Int64", "refers_to": "Int64", "length": "Int64"})
                             rows = []
                 yield pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "payload_bytes": "Int64", "refers_to": "Int64", "length": "Int64"})
+        give_back()
 
     n = max(1, manifest.count())
     return manifest.repartition(n, "path").mapInPandas(run, kind)
