@@ -3,28 +3,31 @@
 Training (bounded): token counts of at most ``max_docs`` labelled documents of
 each class give every token a log-odds score under an informative Dirichlet
 prior (the pooled counts, scaled). A token is a word or a stem, the first 4 to
-7 letters of a word; a word scores as the best of its tokens. Counts are of
-documents, near copies (same least hash of three words) once. Only tokens that toxic
-documents have more often than the number of tokens tried explains are kept,
-at most ``max_terms``; all other words cost a small drift, so that a random
-text scores below zero on average.
+7 letters of a word; a word scores as the longest of its tokens that has a
+score. Counts are of documents, near copies once (26 of 32 least hashes of three
+words agree). Tokens whose counts differ between the classes by more than the
+number of tokens tried explains keep their log-odds, toxic or clean; their number
+is bounded by the sample, no other bound cuts it. All other words share one
+score, the log-odds of being such a word, from the word counts of both classes;
+it is just below zero, so that a random text scores below zero on average.
 
 Scoring: one linear pass over the token scores of a whole text finds every
 maximal scoring segment (Ruzzo and Tompa), i.e. all passages that no extension
 or cut improves. Segment scores become E-values, K n exp(-lambda S), with
-lambda from the clean training documents' score distribution and K from an
-extreme-value (Gumbel) fit of their best segments. The evidence of the
+lambda from the scores of all words of the clean training documents and K from
+an extreme-value (Gumbel) fit of their best segments. The evidence of the
 significant segments is summed per document and mapped to a probability by a
 logistic fit on the training documents, weighted so that each class counts as
 often as it does among all labels, however many of it were sampled.
 
-The model is a closure of at most ``max_terms`` tokens and six numbers.
-Scoring shuffles nothing and reads nothing but the text.
+The model is a closure of the scored tokens and five numbers. Scoring shuffles nothing and reads nothing but the text.
 
 Defined results: a null or empty text has no segment and gets the score of no
 evidence; repeated rows give a row each; documents without a label are scored
 alike; an empty label table, or one with a single class, gives score 0 for
-all; null labels or ids are not trained on. Extra columns are ignored.
+all; null labels or ids are not trained on; of rows that share a doc_id the
+least text trains; a row without a doc_id is not held out. Extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -42,11 +45,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import settle, table
+from .common import give_back, settle, spread, table
 
 #: A token is a run of letters, lower-cased.
 TOKEN = re.compile(r"[^\W\d_]+")
-DRIFT = 0.15
+#: The least that a word without a score of its own costs.
+DRIFT = 0.002
+HASHES, AGREE, BAND = 32, 26, 4
+PRIOR = 20.0
 STEMS = (4, 5, 6, 7)
 
 
@@ -55,6 +61,7 @@ class Model:
     weights: dict[str, float] = field(default_factory=dict)
     lam: float = 1.0
     log_k: float = 0.0
+    drift: float = DRIFT
     slope: float = 0.0
     bias: float = -50.0
 
@@ -70,8 +77,13 @@ def tokens(text: str | None) -> list[str]:
 
 
 def word_score(word: str, weights: dict[str, float]) -> float | None:
-    found = [x for x in (weights.get(word), *(weights.get(f"{word[:k]}-") for k in STEMS if len(word) >= k)) if x is not None]
-    return max(found) if found else None
+    """The score of the longest scored token of a word: the word itself, then its stems."""
+    x = weights.get(word)
+    for k in reversed(STEMS):
+        if x is not None:
+            break
+        x = weights.get(f"{word[:k]}-") if len(word) >= k else None
+    return x
 
 
 class Scores(dict):
@@ -122,7 +134,7 @@ def segments(text: str | None, model: Model, scores: Scores | None = None) -> tu
     words = words_of(text)
     got = list(map((Scores(model.weights) if scores is None else scores).__getitem__, words))
     at = np.array([i for i, x in enumerate(got) if x is not None], np.int64)
-    return len(words), maximal_segments(at, np.array([got[i] for i in at], np.float64))
+    return len(words), maximal_segments(at, np.array([got[i] for i in at], np.float64), model.drift)
 
 
 def evidence(n: int, found: list[tuple[int, int, float]], model: Model) -> float:
@@ -140,21 +152,52 @@ def toxic_passages(text: str | None, model: Model) -> list[tuple[int, int, float
     return [x for x in e if x[3] < 1]
 
 
-def log_odds(counts: list[tuple[str, int, int]], nt: int, nc: int, tried: int, prior: float = 20.0, max_terms: int = 50_000) -> dict[str, float]:
-    """Token scores from (token, toxic documents, clean documents) of nt and nc documents.
+def log_odds(t: Column, c: Column, nt: int, nc: int, prior: float = PRIOR) -> tuple[Column, Column]:
+    """(log-odds, log-likelihood gain over equal rates) of a token in t of nt toxic and c of nc clean documents."""
+    rate = (t + c) / F.lit(nt + nc)
+    a = F.lit(prior) * rate
+
+    def odds(k: Column, n: int) -> Column:
+        return F.log((k + a) / (F.lit(n + prior) - k - a))
+
+    def gain(k: Column, n: int) -> Column:
+        own = F.when(k > 0, k * F.log(k / F.lit(n) / rate)).otherwise(0.0)
+        rest = F.when((k < n) & (rate < 1), (F.lit(n) - k) * F.log((1 - k / F.lit(n)) / (1 - rate))).otherwise(0.0)
+        return own + rest
+
+    return odds(t, nt) - odds(c, nc), gain(t, nt) + gain(c, nc)
+
+
+def signature(words: list[str]) -> np.ndarray:
+    """HASHES least hashes of the three-word shingles of a document with words."""
+    own = [zlib.crc32(" ".join(words[k : k + 3]).encode("utf-8", "surrogatepass")) for k in range(max(1, len(words) - 2))]
+    h = np.unique(np.array(own, np.uint64))
+    out = np.empty(HASHES, np.int64)
+    for k in range(HASHES):
+        x = (h + np.uint64(k << 32)) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
+        out[k] = int((x >> np.uint64(1)).min())
+    return out
 
-    A token is kept if its likelihood ratio against equal rates beats the
-    number of tokens tried.
-    """
-    out = []
-    for w, t, c in counts:
-        rate = (t + c) / (nt + nc)
-        a = prior * rate
-        up = math.log((t + a) / (nt + prior - t - a)) - math.log((c + a) / (nc + prior - c - a))
-        gain = sum(k * math.log(max(k, 1e-12) / n / rate) + (n - k) * math.log(max(1 - k / n, 1e-12) / max(1 - rate, 1e-12)) for k, n in ((t, nt), (c, nc)))
-        if t >= 3 and up > math.log(2) and gain > math.log(max(tried, 2)):
-            out.append((-gain, w, up))
-    return {w: up for _, w, up in sorted(out)[:max_terms]}
+
+def copy_groups(marks: dict[int, np.ndarray]) -> dict[int, int]:
+    """doc_id -> least doc_id of its near copies; documents that share a band are compared with the band's least."""
+    group = {d: d for d in marks}
+
+    def root(d: int) -> int:
+        while group[d] != d:
+            group[d] = group[group[d]]
+            d = group[d]
+        return d
+
+    for k in range(0, HASHES, BAND):
+        first: dict[bytes, int] = {}
+        for d in sorted(marks):
+            e = first.setdefault(marks[d][k : k + BAND].tobytes(), d)
+            if e != d and (marks[d] == marks[e]).sum() >= AGREE:
+                x, y = sorted((root(d), root(e)))
+                group[y] = x
+    return {d: root(d) for d in marks}
 
 
 def _solve_lambda(steps: np.ndarray, share: np.ndarray) -> float:
@@ -165,6 +208,22 @@ def _solve_lambda(steps: np.ndarray, share: np.ndarray) -> float:
     return (lo + hi) / 2
 
 
+def calibrate(model: Model, dealt: list[tuple[int, float | None, int]]) -> None:
+    """drift and lambda from (class, score, words with it), None for words without a score."""
+    every, plain = Counter(), Counter()
+    for y, x, n in dealt:
+        every[y] += n
+        plain[y] += n if x is None else 0
+    if plain[1] and plain[0]:
+        model.drift = max(DRIFT, math.log(plain[0] / every[0]) - math.log(plain[1] / every[1]))
+    clean = [(-model.drift if x is None else x, n) for y, x, n in dealt if y == 0]
+    top = max(model.weights.values())
+    # half a word with the highest score, so that there is one
+    steps = np.array([*(x for x, _ in clean), top])
+    share = np.array([*(n for _, n in clean), 0.5])
+    model.lam = _solve_lambda(steps, share / share.sum())
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 60) -> tuple[float, float]:
     """Slope and bias by Newton steps with a weak ridge; each row counts ``weight`` times."""
     xs = np.stack([x, np.ones_like(x)], axis=1)
@@ -178,12 +237,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 60
     return float(w[0]), float(w[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, max_terms: int = 50_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = 4000) -> Model:
     """Fit on at most ``max_docs`` labelled documents of each class, the ones of least id hash.
 
     ``labels`` has doc_id and toxic. The bound makes what is collected, the
-    counts of stand-out tokens and one evidence figure a document, independent
-    of the corpus size.
+    sample's signatures, its stand-out tokens and one row of figures a document,
+    independent of the corpus size.
     """
     marked = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = [
@@ -196,37 +255,49 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, max_terms: i
         return Model()
     spark = docs.sparkSession
     chosen = spark.createDataFrame([(k, v) for k, v in ids.items()], "doc_id long, toxic int")
-    # settled, else the filters below are pushed under the join and all texts are split; at most 2 * max_docs rows
-    rows = settle(docs.join(F.broadcast(chosen), "doc_id").select("toxic", "text"), "toxic-sample")
+    # settled, else the filters below are pushed under the join and all texts are split; a row a document, at most 2 * max_docs
+    own = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = settle(own.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "toxic-sample")
+
+    def mark(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in parts:
+            words = [words_of(t) for t in df["text"]]
+            yield pd.DataFrame({"doc_id": df["doc_id"], "marks": [signature(w).tobytes() if w else None for w in words]})
+
+    marks = rows.mapInPandas(mark, "doc_id long, marks binary").collect()
+    group = copy_groups({r["doc_id"]: np.frombuffer(r["marks"], np.int64) for r in marks if r["marks"] is not None})
+    size = Counter(y for y, _ in {(ids[d], g) for d, g in group.items()})
+    nt, nc = size[1], size[0]
+    if not nt or not nc:
+        return Model()
 
     def split(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in parts:
-            for y, text in zip(df["toxic"], df["text"], strict=True):
+            for d, y, text in zip(df["doc_id"], df["toxic"], df["text"], strict=True):
                 ws = tokens(text)
                 if ws:
-                    row = words_of(text)
-                    copy = min(zlib.crc32(" ".join(row[k : k + 3]).encode()) for k in range(max(1, len(row) - 2)))
-                    yield pd.DataFrame({"toxic": y, "copy": copy, "w": ws})
+                    yield pd.DataFrame({"toxic": y, "copy": group[d], "w": ws})
 
     once = rows.mapInPandas(split, "toxic int, copy long, w string").distinct()
-    counted = settle(once.groupBy("w").agg(F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") == 0).alias("c")).where("t >= 3"), "toxic-counts")
-    alike = rows.mapInPandas(lambda parts: (x[["toxic", "copy"]].head(1) for x in split(parts)), "toxic int, copy long")
-    of = {r["toxic"]: r["n"] for r in alike.groupBy("toxic").agg(F.count_distinct("copy").alias("n")).collect()}
-    nt, nc = of.get(1, 0), of.get(0, 0)
-    if not nt or not nc:
-        return Model()
-    # tokens over-represented among toxic documents; their number is bounded by the training bound
-    over = counted.where((F.col("t") * F.lit(nc) > 2 * F.col("c") * F.lit(nt)))
-    hot = over.orderBy(F.desc("t"), "w").limit(4 * max_terms).collect()
-    tried = counted.count()
-    model = Model(weights=log_odds([(r["w"], r["t"], r["c"]) for r in hot], nt, nc, tried, max_terms=max_terms))
-    if not model.weights:
+    counted = settle(once.groupBy("w").agg(F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") == 0).alias("c")), "toxic-counts")
+    score, gain = log_odds(F.col("t"), F.col("c"), nt, nc)
+    least = math.log(max(counted.count(), 2))  # of the tokens tried
+    listed = counted.select("w", score.alias("score"), gain.alias("gain")).where((F.col("gain") > least) & (F.abs("score") > math.log(2))).collect()
+    model = Model(weights={r["w"]: r["score"] for r in listed})
+    if not any(x > 0 for x in model.weights.values()):
         return Model()
-    clean = {r["w"]: r["c"] for r in hot}
-    steps = np.array([*model.weights.values(), -DRIFT])
-    share = np.array([clean.get(w, 0) + 0.5 for w in model.weights], np.float64)
-    share = np.append(share, max(1.0, 100.0 * nc - share.sum()))  # a clean document has 100 words and more
-    model.lam = _solve_lambda(steps, share / share.sum())
+
+    def spread_of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scores = Scores(model.weights)
+        for df in parts:
+            seen: Counter = Counter()
+            for y, text in zip(df["toxic"], df["text"], strict=True):
+                seen.update((y, scores[w]) for w in words_of(text))
+            yield pd.DataFrame([(y, x, n) for (y, x), n in seen.items()], columns=["toxic", "score", "n"])
+
+    # a row for each class and score: bounded by the scored tokens; null: words without a score
+    dealt = rows.mapInPandas(spread_of, "toxic int, score double, n long").groupBy("toxic", "score").agg(F.sum("n").alias("n")).collect()
+    calibrate(model, [(r["toxic"], r["score"], r["n"]) for r in dealt])
 
     def best(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scores = Scores(model.weights)
@@ -234,7 +305,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, max_terms: i
             got = [segments(t, model, scores) for t in df["text"]]
             yield pd.DataFrame({"toxic": df["toxic"], "n": [n for n, _ in got], "scores": [[s for _, _, s in f] for _, f in got]})
 
-    seen = rows.mapInPandas(best, "toxic int, n long, scores array<double>").collect()  # 2 * max_docs rows
+    seen = rows.mapInPandas(best, "toxic int, n long, scores array<double>").collect()  # a row a sampled document
     # Gumbel: the best segment of n clean tokens has mean (log K n + gamma) / lambda
     peaks = [(r["n"], max(r["scores"], default=0.0)) for r in seen if r["toxic"] == 0 and r["n"]]
     model.log_k = max(-12.0, min(4.0, float(np.mean([model.lam * s - math.log(n) for n, s in peaks])) - 0.5772)) if peaks else 0.0
@@ -256,16 +327,17 @@ def toxicity(text: Column, model: Model) -> Column:
         for texts in parts:
             x = np.array([evidence(*segments(t, model, scores), model) for t in texts], np.float64)
             yield pd.Series(1 / (1 + np.exp(-np.clip(model.slope * np.log1p(x) + model.bias, -60, 60))))
+        give_back()
 
     return F.pandas_udf(score, T.DoubleType())(text)
 
 
 def held_out() -> Column:
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = train(docs, labels.where(~held_out()))
-    scored = docs.select("doc_id", held_out().alias("held_out"), toxicity(F.col("text"), model).alias("score"))
+    scored = spread(docs.select("doc_id", "text")).select("doc_id", held_out().alias("held_out"), toxicity(F.col("text"), model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
