@@ -10,6 +10,7 @@ import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word is a run of code points that are not ASCII white space (fixed by the contracts).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -72,6 +73,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Keys with more than this part of all rows are hot.
+HOT = 1000
+
+
+def join_dealt(rows: DataFrame, few: DataFrame, keys: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``few``, which has a row a key and in ``weight`` how many rows have it.
+
+    Hot keys, more than one in ``HOT`` of all that ``weight`` counts each and
+    hence fewer than ``HOT``, are broadcast: their rows stay where they are. The
+    others meet by shuffle, and none of them fills a task.
+    """
+    total = few.agg(F.sum(weight)).first()[0] or 0
+    heavy = F.col(weight) * HOT > F.lit(total)
+    hot, rest = few.where(heavy).drop(weight), few.where(~heavy).drop(weight)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys, how)
+    return rows.join(F.broadcast(hot), keys).unionByName(cold)
+
+
 def components(links: DataFrame, spark: SparkSession) -> DataFrame:
     """Connected components of ``links`` (a, b long) as (id, component).
 
@@ -82,8 +101,6 @@ def components(links: DataFrame, spark: SparkSession) -> DataFrame:
     settled in the shared folder. Self links and nulls are ignored; an empty
     input gives an empty result.
     """
-    from pyspark.sql import functions as F
-
     edges = settle(
         links.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).where("v < u").distinct(),
         "cc",
