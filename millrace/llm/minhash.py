@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, settle, table
+from .common import components, give_back, join_dealt, settle, table
 
 BINS = 128
 ROWS = 4
@@ -45,7 +45,6 @@ TILE = 512
 TILE_BYTES = 4 << 20
 #: Lists of ids up to this many rows (8 bytes each) are broadcast, longer ones are joined by shuffle.
 SMALL = 500_000
-SALTS = 16
 U = np.uint64
 
 
@@ -53,7 +52,7 @@ class WordHashes(dict):
     """Stable 64-bit hashes of words, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 300_000:
+        if len(self) >= 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -122,6 +121,8 @@ def _sketches(k: int, rows: int):
                     h = _mix(h + bands[:, j]) * U(0x9E3779B97F4A7C15)
                 got.append((len(s), xxhash.xxh3_128_hexdigest(s.tobytes()), h.view(np.int64), (c & U(255)).astype(np.uint8).tobytes()))
             yield pd.DataFrame(got, columns=["n_shingles", "set_key", "bands", "marks"])
+        known.clear()
+        give_back()
 
     kind = T.StructType(
         [T.StructField("n_shingles", T.LongType()), T.StructField("set_key", T.StringType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("marks", T.BinaryType())]
@@ -134,6 +135,8 @@ def _set_bytes(k: int):
         known = WordHashes()
         for texts in parts:
             yield pd.Series([shingle_set(t, k, known).tobytes() for t in texts])
+        known.clear()
+        give_back()
 
     return run
 
@@ -197,12 +200,12 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = ROWS
     spark = docs.sparkSession
     made = settle(docs.select("doc_id", _sketches(k, rows)("text").alias("s")).select("doc_id", "s.*"), "minhash")
     live = made.where("doc_id is not null and n_shingles > 0")
-    classes = live.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
+    classes = settle(live.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")), "minhash-classes")
     shared = classes.where("copies > 1")
-    # a class's sketch is that of its smallest document
-    single = live.join(shared, "set_key", "left_anti").select(F.col("doc_id").alias("id"), "bands", "marks")
-    first = live.join(shared.withColumnRenamed("id", "doc_id"), ["set_key", "doc_id"], "left_semi").select(F.col("doc_id").alias("id"), "bands", "marks").dropDuplicates(["id"])
-    reps = settle(single.union(first), "minhash-reps")
+    # a class's sketch is that of its smallest document; met by both keys, so that copies of one text are spread
+    least = classes.select("set_key", F.col("id").alias("doc_id"))
+    first = live.join(least, ["set_key", "doc_id"], "left_semi").dropDuplicates(["set_key", "doc_id"])
+    reps = settle(first.select(F.col("doc_id").alias("id"), "bands", "marks"), "minhash-reps")
 
     bands = reps.select("id", F.explode("bands").alias("band"))
     met = bands.groupBy("band").agg(F.min("id").alias("centre"), F.count("*").alias("n")).where("n > 1")
@@ -219,18 +222,16 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = ROWS
     sets = settle(sets.withColumn("bytes", F.octet_length("set")), "minhash-sets")
     held = cluster.join(reps.select("id", "marks"), "id").join(sets, "id")
     load = F.ceil(F.greatest(F.count("*") / TILE, F.sum("bytes") / TILE_BYTES)).cast("int")
-    tiles = cluster.join(sets.select("id", "bytes"), "id").groupBy("cluster").agg(load.alias("tiles"))
+    tiles = settle(cluster.join(sets.select("id", "bytes"), "id").groupBy("cluster").agg(load.alias("tiles"), F.count("*").alias("members")), "minhash-tiles")
     own_tile = F.pmod(F.xxhash64("id", F.lit(9)), F.col("tiles")).cast("int")
-    spread = held.join(tiles, "cluster").withColumn("tile", own_tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    spread = join_dealt(held, tiles, ["cluster"], "members").withColumn("tile", own_tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     t, o = F.col("tile"), F.col("other")
     pairs = spread.select("cluster", "id", "marks", "set", F.least(t, o).alias("i"), F.greatest(t, o).alias("j"), F.when(t == o, 1).when(t < o, 0).otherwise(2).alias("side"))
     part = components(settle(_links(pairs, percent), "minhash-links"), spark)
 
-    # from class representatives back to all documents; large classes are dealt over salts
-    groups = shared.join(part, "id", "left").select("set_key", F.coalesce("component", "id").alias("of_class"))
-    salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows_ = made.select("doc_id", "n_shingles", "set_key", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    out = rows_.join(salted, ["set_key", "salt"], "left").join(part.toDF("doc_id", "of_doc"), "doc_id", "left")
+    # from class representatives back to all documents
+    groups = settle(shared.join(part, "id", "left").select("set_key", F.coalesce("component", "id").alias("of_class"), "copies"), "minhash-groups")
+    out = join_dealt(made.select("doc_id", "n_shingles", "set_key"), groups, ["set_key"], "copies", "left").join(part.toDF("doc_id", "of_doc"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("of_class", "of_doc", "doc_id").alias("component_id"))
 
 
