@@ -7,6 +7,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 #: A word is a run of code points that are not ASCII white space (fixed by the contracts).
 WORD = r"[^\x20\x09-\x0D]+"
 ARROW_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
-ARROW_ROWS = 1000
+ARROW_ROWS = 250
 SPACES = " \t\n\x0b\x0c\r"
 
 
@@ -37,21 +38,27 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Python workers get ``ARROW_ROWS`` rows at a time at most: texts are long."""
+    rows = spark.conf.get(ARROW_SETTING)
+    spark.conf.set(ARROW_SETTING, str(min(ARROW_ROWS, int(rows)) if int(rows) > 0 else ARROW_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_SETTING, rows)
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts lineage so that a lost executor costs a re-read, not a recomputation,
-    and fixes results that later passes must see identically. While it writes,
-    Python workers get ``ARROW_ROWS`` rows at a time: texts are long.
+    and fixes results that later passes must see identically.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    rows = spark.conf.get(ARROW_SETTING)
-    spark.conf.set(ARROW_SETTING, str(min(ARROW_ROWS, int(rows)) if int(rows) > 0 else ARROW_ROWS))
-    try:
+    with small_batches(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(ARROW_SETTING, rows)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -266,13 +266,11 @@ def score_quality(docs: DataFrame, keep_at: float = 0.5) -> DataFrame:
 def filter_good(docs: DataFrame, keep_at: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns.
 
-    Reads the texts twice rather than shuffle them: once for the pattern
-    counts, once to decide.
+    The texts are judged in one pass and written once with what was counted.
     """
     q = "__quality"
-    counted = spread(docs.select("text")).select(quality_stats(F.col("text"))["pattern"].alias("pattern"))
-    model = learn_rules(pattern_counts(counted))
-    seen = spread(docs).withColumn(q, quality_stats(F.col("text")))
+    seen = settle(spread(docs).withColumn(q, quality_stats(F.col("text"))), "quality-votes")
+    model = learn_rules(pattern_counts(seen.select(F.col(q)["pattern"].alias("pattern"))))
     keep = ~base_failed(F.col(q)["n_words"], F.col(q)["n_repeat_words"]) & (_posterior(F.col(q)["pattern"], model) >= keep_at)
     return seen.where(keep).drop(q)
 
