@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from millrace import functions as fx
 from millrace.elastic import model as elastic
+from millrace.elastic import plan as planner
 from millrace.operators import relational as ops
-from millrace.plans import analogues
+from millrace.plans import analogues, tpcds
 from millrace.shared import fresh_path
 from millrace.sources import delimited
 from millrace.sources.parquet import load, money
@@ -354,16 +355,12 @@ _STAGES = [(1, 0, 146.8, 154.605, 520.0), (2, 0, 7.81, 8.5379, 60.0), (3, 1, 0.7
 _STAGE_SQL = "(VALUES " + ", ".join(str(s) for s in _STAGES) + ") AS s(stage, single, size, mem, weight)"
 
 
-def _stages(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_STAGES, "stage int, single int, size double, mem double, weight double")
+def _stage_dag() -> planner.Dag:
+    return {i: planner.Stage(i, single=bool(single), input_size=size, mem_parallel=mem) for i, single, size, mem, _ in _STAGES}
 
 
-def _dealt(stages: DataFrame, share, slots: int = 118) -> DataFrame:
-    """Slots by share among the stages of several tasks: a table of a few stages."""
-    free = F.when(F.col("single") == 0, share)
-    total = stages.agg(F.sum(free).alias("total"))
-    degree = F.when(F.col("single") == 1, 1).otherwise(F.greatest(F.lit(1), F.floor(F.lit(slots) * share / F.col("total")))).cast("long")
-    return stages.join(F.broadcast(total)).select("stage", degree.alias("degree"))
+def _degrees(spark: SparkSession, degree: dict[int, int]) -> DataFrame:
+    return spark.createDataFrame(sorted(degree.items()), "stage int, degree long")
 
 
 def _dealt_sql(share: str) -> str:
@@ -372,12 +369,12 @@ def _dealt_sql(share: str) -> str:
 
 @query(_dealt_sql("sqrt(mem::DOUBLE * weight::DOUBLE)"))
 def dop_by_cost(spark: SparkSession, d: str) -> DataFrame:
-    return _dealt(_stages(spark), F.sqrt(F.col("mem") * F.col("weight")))
+    return _degrees(spark, planner.by_cost(_stage_dag(), {i: mem * weight for i, _, _, mem, weight in _STAGES}, 120))
 
 
 @query(_dealt_sql("size::DOUBLE"))
 def dop_by_size(spark: SparkSession, d: str) -> DataFrame:
-    return _dealt(_stages(spark), F.col("size"))
+    return _degrees(spark, planner.by_size(_stage_dag(), 120))
 
 
 # stage, degree, memory, pre, read1, read2, compute, write (ms)
@@ -390,3 +387,238 @@ def charge_cost(spark: SparkSession, d: str) -> DataFrame:
     tasks = spark.createDataFrame(_TASKS, "stage int, degree int, mem double, pre long, read1 long, read2 long, compute long, write long")
     ms = fx.charged_ms(F.col("pre"), F.col("read1"), F.col("read2"), F.col("compute"), F.col("write"), (True, False, True))
     return tasks.select("stage", ms.alias("charged"), F.round(F.col("degree") * F.col("mem") * ms / 1000.0, 4).alias("cost"))
+
+
+# ---- the planner on a plan of six stages: 1 and 2 feed 3, 3 and 4 feed 5, 5 ends in 6 ----
+
+_DAG = """
+Stage 1
+is_leaf 1
+input_chunks 48
+to_id 3
+transfer_op gather
+mem_parall 120
+mem_fixed 0.5
+input_size 96
+Stage 2
+is_leaf 1
+input_chunks 30
+to_id 3
+transfer_op allgather
+mem_parall 20
+mem_fixed 0.25
+input_size 12
+Stage 3
+to_id 5
+transfer_op gather
+from_id 2 1
+pre_id 2
+mem_parall 60
+mem_fixed 0.5
+input_size 40
+Stage 4
+is_leaf 1
+input_chunks 36
+to_id 5
+transfer_op shuffle
+mem_parall 30
+mem_fixed 0.25
+input_size 18
+Stage 5
+to_id 6
+transfer_op allgather
+from_id 3 4
+mem_parall 10
+mem_fixed 0.25
+input_size 6
+Stage 6
+is_single 1
+to_id -1
+from_id 5
+mem_parall 1
+mem_fixed 0.25
+input_size 1
+"""
+# stage, a of read1, read2, compute, write, pre; b of compute (ms)
+_MODELS = [(1, 9000.0, 0.0, 1600.0, 900.0, 50.0, 20.0), (2, 2000.0, 0.0, 400.0, 100.0, 50.0, 10.0), (3, 300.0, 700.0, 3000.0, 350.0, 100.0, 40.0), (4, 4000.0, 0.0, 800.0, 200.0, 50.0, 10.0), (5, 150.0, 250.0, 900.0, 90.0, 80.0, 15.0), (6, 40.0, 0.0, 30.0, 5.0, 20.0, 5.0)]
+_MODEL_SQL = "(VALUES " + ", ".join(f"({i}, " + ", ".join(f"{x}::DOUBLE" for x in xs) + ")" for i, *xs in _MODELS) + ") AS m(stage, r1, r2, c, w, p, b)"
+
+
+def _plan_dag() -> planner.Dag:
+    dag = planner.parse_dag(_DAG)
+    for i, r1, r2, c, w, p, b in _MODELS:
+        dag[i].model = elastic.Coefficients({"read1": r1, "read2": r2, "compute": c, "write": w, "pre": p}, {"compute": b})
+    return dag
+
+
+# 1, 3 and 5 are a chain of gathers; 3 reads 2 ahead and hence 1 second; 5 reads 3 first
+_MODE_ROWS = "(VALUES (1, 1, 1, 'read_compute'), (3, 1, 2, 'read1_compute'), (5, 1, 3, 'read2_compute_write'), (2, 2, 1, 'read_compute_write'), (4, 3, 1, 'read_compute_write'), (6, 4, 1, 'read_compute_write')) AS g(stage, grp, place, mode)"
+_SHARED = 1 / elastic.SHARED_SPEEDUP
+#: a stage's slope in its mode
+_SLOPE = f"CASE mode WHEN 'read_compute' THEN r1 + r2 + c WHEN 'read1_compute' THEN r1 + {_SHARED} * r2 + c WHEN 'read2_compute_write' THEN {_SHARED} * r1 + r2 + c + w ELSE r1 + r2 + c + w END"
+_WEIGHED = f"WITH x AS (SELECT stage, mode, {_SLOPE} AS slope, p, b FROM {_MODEL_SQL} JOIN {_MODE_ROWS} USING (stage))"
+
+
+@query(f"SELECT stage, grp, place, mode FROM {_MODE_ROWS}")
+def plan_fusion(spark: SparkSession, d: str) -> DataFrame:
+    dag = _plan_dag()
+    groups = planner.fuse(dag)
+    mode = planner.modes(dag, groups)
+    return spark.createDataFrame([(i, k, j, mode[i]) for k, g in enumerate(groups, 1) for j, i in enumerate(g, 1)], "stage int, grp int, place int, mode string")
+
+
+@query(_WEIGHED + " SELECT stage, round(slope, 6) AS time_weight, round(mem * (slope + p), 6) AS cost_weight FROM x JOIN (VALUES (1, 120), (2, 20), (3, 60), (4, 30), (5, 10), (6, 1)) AS y(stage, mem) USING (stage)")
+def plan_weights(spark: SparkSession, d: str) -> DataFrame:
+    dag = _plan_dag()
+    mode = planner.modes(dag, planner.fuse(dag))
+    time, cost = planner.time_weights(dag, mode), planner.cost_weights(dag, mode)
+    return spark.createDataFrame([(i, round(time[i], 6), round(cost[i], 6)) for i in dag], "stage int, time_weight double, cost_weight double")
+
+
+# siblings share by their times, a stage and what is below it by square roots; stage 6 has one task
+_BY_TIME_SQL = (
+    _WEIGHED
+    + """, v AS (
+  SELECT max(CASE WHEN stage = 1 THEN slope END) AS w1, max(CASE WHEN stage = 2 THEN slope END) AS w2, max(CASE WHEN stage = 3 THEN slope END) AS w3,
+         max(CASE WHEN stage = 4 THEN slope END) AS w4, max(CASE WHEN stage = 5 THEN slope END) AS w5 FROM x
+), t AS (SELECT *, power(sqrt(w1 + w2) + sqrt(w3), 2) AS t3 FROM v
+), f AS (SELECT *, sqrt(t3 + w4) / (sqrt(t3 + w4) + sqrt(w5)) AS below5, sqrt(w1 + w2) / (sqrt(w1 + w2) + sqrt(w3)) AS below3, t3 / (t3 + w4) AS side3 FROM t
+), s(stage, share) AS (
+  SELECT 1, below5 * side3 * below3 * w1 / (w1 + w2) FROM f UNION ALL SELECT 2, below5 * side3 * below3 * w2 / (w1 + w2) FROM f
+  UNION ALL SELECT 3, below5 * side3 * (1 - below3) FROM f UNION ALL SELECT 4, below5 * (1 - side3) FROM f UNION ALL SELECT 5, 1 - below5 FROM f
+)
+SELECT stage, CAST(greatest(1, floor(118 * share)) AS BIGINT) AS degree FROM s UNION ALL SELECT 6, 1
+"""
+)
+
+
+@query(_BY_TIME_SQL)
+def plan_by_time(spark: SparkSession, d: str) -> DataFrame:
+    dag = _plan_dag()
+    return _degrees(spark, planner.by_time(dag, planner.time_weights(dag, planner.modes(dag, planner.fuse(dag))), 120))
+
+
+# 40 of 48 chunks: 48 is the next divisor but 8 above, so 24; 3 reads 1 by gather: 13 goes up to 24;
+# 11 of 30 chunks goes down to 10 (15 is 4 above: up); 17 of 36 up to 18; 5 reads 3: 7 up to 8, then doubled while slots last
+@query("SELECT * FROM (VALUES (1, 24::BIGINT), (2, 15::BIGINT), (3, 24::BIGINT), (4, 18::BIGINT), (5, 24::BIGINT), (6, 1::BIGINT)) AS t(stage, degree)")
+def plan_tuned(spark: SparkSession, d: str) -> DataFrame:
+    return _degrees(spark, planner.tune(_plan_dag(), {1: 40, 2: 11, 3: 13, 4: 17, 5: 7, 6: 1}, 120))
+
+
+# bundles of 1, 3 and 5 take 4 + 4 + 1 slots, 4 bundles over three servers in turn; the rest goes where most is free, the first of equals
+@query("SELECT * FROM (VALUES (1, 0, 8), (1, 1, 4), (1, 2, 4), (3, 0, 8), (3, 1, 4), (3, 2, 4), (5, 0, 2), (5, 1, 1), (5, 2, 1), (2, 0, 2), (2, 1, 3), (2, 2, 1), (6, 0, 1), (6, 1, 0), (6, 2, 0)) AS t(stage, server, tasks)")
+def plan_placed(spark: SparkSession, d: str) -> DataFrame:
+    tasks, _ = planner.place([[1, 3, 5], [2], [6]], {1: 16, 3: 16, 5: 4, 2: 6, 6: 1}, [24, 16, 14])
+    return spark.createDataFrame([(i, k, n) for i, row in tasks.items() for k, n in enumerate(row)], "stage int, server int, tasks int")
+
+
+_FIXED_DEGREE = "CASE WHEN stage = 6 THEN 1 ELSE 10 END"
+
+
+@query(_WEIGHED + f", y AS (SELECT x.*, fixed, par, leaf FROM x JOIN (VALUES (1, 0.5, 120, 1), (2, 0.25, 20, 1), (3, 0.5, 60, 0), (4, 0.25, 30, 1), (5, 0.25, 10, 0), (6, 0.25, 1, 0)) AS z(stage, fixed, par, leaf) USING (stage)) SELECT round(sum({_FIXED_DEGREE} * (fixed + par / {_FIXED_DEGREE}) * (slope / 10 + b + p / 10 + CASE leaf WHEN 1 THEN 0 ELSE 1500 END) / 1000), 6) AS cost FROM y")
+def plan_cost(spark: SparkSession, d: str) -> DataFrame:
+    dag = _plan_dag()
+    total = planner.cost(dag, planner.fixed(dag, 10), planner.modes(dag, planner.fuse(dag)))
+    return spark.createDataFrame([(round(total, 6),)], "cost double")
+
+
+@query(_WEIGHED + ", e AS (SELECT stage, slope / 10 + b AS work, p / 10 AS ready FROM x) SELECT round(greatest((SELECT work + ready FROM e WHERE stage = 1), (SELECT work + ready FROM e WHERE stage = 2)) + (SELECT sum(work) FROM e WHERE stage IN (3, 5, 6)), 6) AS completion_ms")
+def plan_completion(spark: SparkSession, d: str) -> DataFrame:
+    """The longest path is from stage 1 or 2: stage 4 is short."""
+    dag = _plan_dag()
+    return spark.createDataFrame([(round(planner.completion_ms(dag, planner.fixed(dag, 10), planner.modes(dag, planner.fuse(dag))), 6),)], "completion_ms double")
+
+
+# a chain without fusion: each stage is prepared just when its input has come
+@query(f"WITH e AS (SELECT stage, (r1 + r2 + c + w) / 10 + b AS work, p / 10 AS ready FROM {_MODEL_SQL}), s AS (SELECT stage, work, ready FROM e WHERE stage IN (1, 5, 6)) SELECT stage, round(CASE stage WHEN 1 THEN 0 WHEN 5 THEN (SELECT work + ready FROM s WHERE stage = 1) - ready ELSE (SELECT work + ready FROM s WHERE stage = 1) + (SELECT work FROM s WHERE stage = 5) - ready END, 6) AS start_ms FROM s")
+def plan_launch(spark: SparkSession, d: str) -> DataFrame:
+    whole = _plan_dag()
+    dag = {i: whole[i] for i in (1, 5, 6)}
+    dag[5].sources, dag[1].to = [1], 5
+    groups = planner.fuse(dag, 1)
+    start = planner.launch_times(dag, planner.fixed(dag, 10), planner.modes(dag, groups), groups)
+    return spark.createDataFrame([(i, round(x, 6)) for i, x in start.items()], "stage int, start_ms double")
+
+
+@query(
+    f"SELECT stage, mode, round({_SLOPE} / 12 + b, 6) AS ms FROM {_MODEL_SQL}, (VALUES ('read_compute'), ('read1_compute'), ('read2_compute_write'), ('read_compute_write')) AS k(mode) "
+    f"UNION ALL SELECT stage, 'compute_write', round(({_SHARED} * (r1 + r2) + c + w) / 12 + b, 6) FROM {_MODEL_SQL} UNION ALL SELECT stage, 'read1_compute_write', round((r1 + {_SHARED} * r2 + c + w) / 12 + b, 6) FROM {_MODEL_SQL} "
+    f"UNION ALL SELECT stage, 'read2_compute', round(({_SHARED} * r1 + r2 + c) / 12 + b, 6) FROM {_MODEL_SQL} UNION ALL SELECT stage, 'all_shared', round(({_SHARED} * (r1 + r2 + w) + c) / 12 + b, 6) FROM {_MODEL_SQL} "
+    f"UNION ALL SELECT stage, 'write', round(w / 12, 6) FROM {_MODEL_SQL} UNION ALL SELECT stage, 'pre', round(p / 12, 6) FROM {_MODEL_SQL} UNION ALL SELECT stage, 'read', round((r1 + r2) / 12, 6) FROM {_MODEL_SQL} "
+    f"UNION ALL SELECT stage, 'read1', round(r1 / 12, 6) FROM {_MODEL_SQL} UNION ALL SELECT stage, 'compute', round(c / 12 + b, 6) FROM {_MODEL_SQL} UNION ALL SELECT stage, 'total', round((r1 + r2 + c + w + p) / 12 + b, 6) FROM {_MODEL_SQL}"
+)
+def predict_modes(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(i, m, round(s.model.predict(m, 12), 6)) for i, s in _plan_dag().items() for m in elastic.MODES], "stage int, mode string, ms double")
+
+
+# ---- the TPC-DS queries, on tables of their shape made from the test tables ----
+
+_DAY0 = "DATE '1990-01-01'"
+
+
+def _sales_sql(p: str, site: str) -> str:
+    return f"""SELECT l_orderkey AS {p}_order_number, CAST(CASE WHEN l_linenumber % 5 <> 0 THEN l_suppkey % 3 END AS BIGINT) AS {p}_warehouse_sk, {{days}} AS {p}_ship_date_sk,
+  CAST(l_partkey % 40 AS BIGINT) AS {p}_ship_addr_sk, CAST(l_orderkey % 6 AS BIGINT) AS {site}, CAST(l_extendedprice AS DECIMAL(18,2)) AS {p}_ext_ship_cost,
+  CAST(l_quantity AS DECIMAL(18,2)) AS {p}_net_profit FROM lineitem"""
+
+
+#: Table -> SQL that both engines run; ``{days}`` is the number of days of l_shipdate since the first.
+_SHAPES = {
+    "catalog_sales": _sales_sql("cs", "cs_call_center_sk"),
+    "web_sales": _sales_sql("ws", "ws_web_site_sk"),
+    "catalog_returns": "SELECT l_orderkey AS cr_order_number FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 1",
+    "web_returns": "SELECT l_orderkey AS wr_order_number FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 2",
+    "date_dim": "SELECT DISTINCT {days} AS d_date_sk, CAST(l_shipdate AS DATE) AS d_date, year(l_shipdate) AS d_year FROM lineitem",
+    "customer_address": "SELECT DISTINCT CAST(l_partkey % 40 AS BIGINT) AS ca_address_sk, CASE WHEN l_partkey % 40 < 20 THEN 'GA' ELSE 'IL' END AS ca_state FROM lineitem",
+    "call_center": "SELECT DISTINCT CAST(l_orderkey % 6 AS BIGINT) AS cc_call_center_sk, CASE l_orderkey % 6 WHEN 0 THEN 'Williamson County' WHEN 1 THEN 'Ziebach County' WHEN 2 THEN 'Walker County' ELSE 'Barrow County' END AS cc_county FROM lineitem",
+    "web_site": "SELECT DISTINCT CAST(l_orderkey % 6 AS BIGINT) AS web_site_sk, CASE WHEN l_orderkey % 6 < 3 THEN 'pri' ELSE 'able' END AS web_company_name FROM lineitem",
+    "store_returns": "SELECT CAST(l_partkey % 150 AS BIGINT) AS sr_customer_sk, CAST(l_suppkey % 10 AS BIGINT) AS sr_store_sk, {days} AS sr_returned_date_sk, CAST(l_extendedprice AS DECIMAL(18,2)) AS sr_fee FROM lineitem WHERE l_returnflag = 'R'",
+    "store": "SELECT DISTINCT CAST(l_suppkey % 10 AS BIGINT) AS s_store_sk, CASE WHEN l_suppkey % 10 < 7 THEN 'MI' ELSE 'TN' END AS s_state FROM lineitem",
+    "customer": "SELECT DISTINCT CAST(l_partkey % 150 AS BIGINT) AS c_customer_sk, 'C' || CAST(1000 + l_partkey % 150 AS VARCHAR(9)) AS c_customer_id FROM lineitem",
+}
+
+
+def _shaped(spark: SparkSession, d: str, *names: str) -> list[DataFrame]:
+    days = f"CAST(datediff(CAST(l_shipdate AS DATE), {_DAY0}) AS BIGINT)"
+    return [spark.sql(_SHAPES[n].replace("{days}", days).replace("FROM lineitem", "FROM {lineitem}"), lineitem=load(spark, d, "lineitem")) for n in names]
+
+
+def _with(names: list[str], query: str) -> str:
+    days = f"CAST(datediff('day', {_DAY0}, CAST(l_shipdate AS DATE)) AS BIGINT)"
+    return "WITH " + ", ".join(f"{n} AS ({_SHAPES[n].replace('{days}', days)})" for n in names) + query
+
+
+def _totals(report: DataFrame) -> DataFrame:
+    return report.select("order_count", *[F.col(c).cast("double").alias(c) for c in ("total_shipping_cost", "total_net_profit")])
+
+
+def _totals_sql(names: list[str], query: str) -> str:
+    return _with(names, f" SELECT order_count, CAST(total_shipping_cost AS DOUBLE) AS total_shipping_cost, CAST(total_net_profit AS DOUBLE) AS total_net_profit FROM ({query}) AS q")
+
+
+_Q1 = ["store_returns", "date_dim", "store", "customer"]
+_Q16 = ["catalog_sales", "catalog_returns", "date_dim", "customer_address", "call_center"]
+_Q9X = ["web_sales", "web_returns", "date_dim", "customer_address", "web_site"]
+#: The template of Q16 takes five counties.
+_COUNTIES = ("Williamson County", "Ziebach County", "Walker County", "Daviess County", "Luce County")
+_IN_COUNTIES = "cc_county IN (" + ", ".join(f"'{c}'" for c in _COUNTIES) + ")"
+
+
+@query(_with(_Q1, ", " + tpcds.Q1_SQL.format(amount="sr_fee", year=1998, state="MI").strip().removeprefix("WITH ")))
+def tpcds_q1(spark: SparkSession, d: str) -> DataFrame:
+    return tpcds.q1(*_shaped(spark, d, *_Q1), year=1998)
+
+
+@query(_totals_sql(_Q16, tpcds.order_sql("catalog_sales", "catalog_returns", tpcds.CATALOG, "cr_order_number", "call_center", "1998-02-01", "GA", _IN_COUNTIES, False)))
+def tpcds_q16(spark: SparkSession, d: str) -> DataFrame:
+    return _totals(tpcds.q16(*_shaped(spark, d, *_Q16), first="1998-02-01", counties=_COUNTIES))
+
+
+@query(_totals_sql(_Q9X, tpcds.order_sql("web_sales", "web_returns", tpcds.WEB, "wr_order_number", "web_site", "1999-02-01", "IL", "web_company_name = 'pri'", False)))
+def tpcds_q94(spark: SparkSession, d: str) -> DataFrame:
+    return _totals(tpcds.q94(*_shaped(spark, d, *_Q9X)))
+
+
+@query(_totals_sql(_Q9X, tpcds.order_sql("web_sales", "web_returns", tpcds.WEB, "wr_order_number", "web_site", "1999-02-01", "IL", "web_company_name = 'pri'", True)))
+def tpcds_q95(spark: SparkSession, d: str) -> DataFrame:
+    return _totals(tpcds.q95(*_shaped(spark, d, *_Q9X)))

@@ -11,7 +11,6 @@ import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from millrace.operators.relational import anti_join, keys_with_several, semi_join
 from millrace.sources.parquet import load, money
@@ -54,8 +53,8 @@ def store_report(spark: SparkSession, folder: str, year: int, nation: str, limit
     lines = semi_join(load(spark, folder, "lineitem").select("l_orderkey", "l_suppkey", money("l_extendedprice").alias("fee")), suppliers, "l_suppkey", "s_suppkey")
     totals = lines.join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", "l_suppkey").agg(F.sum("fee").alias("total"))
     # total > 1.2 * sum / n, in whole numbers of cents: no rounding decides
-    own = Window.partitionBy("l_suppkey")
-    above = totals.withColumns({"all": F.sum("total").over(own), "n": F.count("*").over(own)}).where("10 * total * n > 12 * all")
+    usual = totals.groupBy("l_suppkey").agg(F.sum("total").alias("all"), F.count("*").alias("n"))
+    above = totals.join(usual, "l_suppkey").where("10 * total * n > 12 * all")
     found = above.join(load(spark, folder, "customer").select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey"))
     return found.select("c_name").orderBy("c_name").limit(limit)
 
