@@ -27,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
         where = "file://" + tempfile.mkdtemp(prefix="millrace-shared-")
         spark.conf.set("spark.checkpoint.dir", where)
     # with the scheme of the cluster's default file system where the setting has none
