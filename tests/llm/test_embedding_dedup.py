@@ -46,6 +46,27 @@ def test_against_brute_force(spark, monkeypatch):
     assert ed.near_vectors(df.where("false")).count() == 0
 
 
+def test_any_grid(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(30, 12)) * np.array([3, 2, 1] + [0.3] * 9)
+    rows = [(k, [float(v) for v in x[k % 30] + rng.normal(size=12) * 0.1], "a") for k in range(240)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    want, axes = brute(rows, 0.98), []
+    grid = ed._grid
+    monkeypatch.setattr(ed, "_grid", lambda *a: axes.append(grid(*a)) or axes[-1])
+    for tile, cost in ((5, 0), (256, 10**6)):
+        monkeypatch.setattr(ed, "TILE", tile)
+        monkeypatch.setattr(ed, "COPY_COST", cost)
+        assert sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in ed.near_vectors(df).collect()), key=str) == want
+    assert [a[12][1] for a in axes] == [ed.MOST_AXES, 0]
+
+
+def test_doubles_whose_squares_overflow(spark):
+    rows = [(1, [1e200, 2e200], 1), (2, [1e-200, 2e-200], 1), (3, [1.0, 2.0], 1), (4, [2.0, -1.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert sorted(map(tuple, ed.near_vectors(df).collect())) == [(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 0, 4, True)]
+
+
 def test_axes_lead():
     x = np.random.default_rng(1).normal(size=(200, 8)) * np.array([1, 1, 9, 1, 1, 1, 1, 1])
     y = x @ ed.axes_of(x)
