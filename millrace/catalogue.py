@@ -315,6 +315,52 @@ def gather_scatter_shuffle(spark: SparkSession, d: str) -> DataFrame:
     return dealt.groupBy("l_returnflag").agg(F.count("*").alias("n"))
 
 
+@query("SELECT l_suppkey, count(*) AS n, 1::BIGINT AS consumers FROM lineitem GROUP BY l_suppkey")
+def shuffle_keeps_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Each key comes to one consumer."""
+    dealt = ops.shuffle(load(spark, d, "lineitem").select("l_suppkey"), 5, "l_suppkey").withColumn("at", F.spark_partition_id())
+    return dealt.groupBy("l_suppkey").agg(F.count("*").alias("n"), F.count_distinct("at").alias("consumers"))
+
+
+@query("SELECT 6::BIGINT AS consumers, count(*) AS n, true AS even FROM lineitem")
+def scatter_is_even(spark: SparkSession, d: str) -> DataFrame:
+    """Each producer deals its rows round robin, so consumers differ by a row a producer at most."""
+    lines = load(spark, d, "lineitem").select("l_orderkey")
+    dealt = ops.scatter(lines, 6).withColumn("at", F.spark_partition_id()).groupBy("at").agg(F.count("*").alias("n"))
+    producers = lines._jdf.queryExecution().toRdd().getNumPartitions()
+    return dealt.agg(F.count("*").alias("consumers"), F.sum("n").alias("n"), (F.max("n") - F.min("n") <= producers).alias("even"))
+
+
+@query("SELECT 6::BIGINT AS producers, 3::BIGINT AS consumers, count(*) AS n, 1::BIGINT AS most FROM lineitem")
+def gather_keeps_producers(spark: SparkSession, d: str) -> DataFrame:
+    """Each of 3 consumers takes whole producers: none of the 6 comes to two."""
+    made = ops.scatter(load(spark, d, "lineitem").select("l_orderkey"), 6).withColumn("made", F.spark_partition_id())
+    met = ops.gather(made, 3).withColumn("at", F.spark_partition_id()).groupBy("made").agg(F.count("*").alias("n"), F.collect_set("at").alias("at"))
+    return met.agg(
+        F.count("*").alias("producers"), F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("consumers"), F.sum("n").alias("n"), F.max(F.size("at")).cast("long").alias("most")
+    )
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey % 4 IN (1, 2)")
+def numbered_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Four numbered chunks of one file each; the middle two read as one table."""
+    path = fresh_path(spark, "numbered")
+    customer = load(spark, d, "customer").select("c_custkey", "c_name")
+    for i, chunk in enumerate(delimited.chunk_paths(f"{path}/t", 0, 4)):
+        delimited.write_single(customer.where(F.col("c_custkey") % 4 == i), chunk)
+    return delimited.read_chunks(spark, f"{path}/t", 1, 2, "c_custkey bigint, c_name string")
+
+
+_LOG = [(0, "time", 12.5), (0, "cost", 3.25), (1, "time", 11.0), (1, "cost", 4.0), (2, "time", 9.75)]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({r}::INTEGER, '{k}', {v}::DOUBLE)" for r, k, v in _LOG) + ") AS t(record, key, value)")
+def metrics_log(spark: SparkSession, d: str) -> DataFrame:
+    path = fresh_path(spark, "log")
+    spark.createDataFrame([("\n".join(f"{k}: {v}" if r % 2 else f"{k} {v}" for r, k, v in _LOG),)], "value string").coalesce(1).write.text(path)
+    return delimited.read_metrics(spark, path).select("record", "key", "value")
+
+
 # ---- time models ----
 
 # Published stage totals in seconds at degrees 10, 20, 30, 60, 120.
@@ -350,6 +396,20 @@ def predict_time(spark: SparkSession, d: str) -> DataFrame:
     return elastic.predict(elastic.fit(_profiles(spark)), "compute", F.lit(40)).select("query", "stage", F.round("ms", 3).alias("seconds"))
 
 
+_PHASE_MS = [(phase, 1000.0 * k + 60.0 / degree, degree) for degree in (2, 4) for k, phase in enumerate(elastic.PHASES)]
+_TIMER_ROWS = ", ".join(f"(7, 3, {degree}, '{phase}', {ms * sum(p == phase for p in elastic.TIMERS.values())}::DOUBLE)" for phase, ms, degree in _PHASE_MS)
+
+
+@query(f"SELECT * FROM (VALUES {_TIMER_ROWS}) AS t(query, stage, degree, phase, ms)")
+def profile_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """A stage's profile file read back: timers of a phase are added, what is not of a phase is left out."""
+    path = fresh_path(spark, "profiles")
+    at = {(phase, degree): ms for phase, ms, degree in _PHASE_MS}
+    text = "\n".join(f"{timer} {at.get((phase, degree), 5.0)}" for degree in (2, 4) for timer, phase in elastic.TIMERS.items())
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{path}/q7_stage3.profile")
+    return elastic.read_profiles(spark, f"{path}/*", [2, 4])
+
+
 # stage, single, input size, memory, weight
 _STAGES = [(1, 0, 146.8, 154.605, 520.0), (2, 0, 7.81, 8.5379, 60.0), (3, 1, 0.737, 1.237, 1.0), (4, 0, 320.5, 330.25, 610.0), (5, 0, 20.25, 22.5, 44.0), (6, 0, 64.0, 70.125, 130.0)]
 _STAGE_SQL = "(VALUES " + ", ".join(str(s) for s in _STAGES) + ") AS s(stage, single, size, mem, weight)"

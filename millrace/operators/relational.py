@@ -66,15 +66,29 @@ def inner_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
     return a.join(b, F.col("__l") == F.col("__r")).drop("__l", "__r")
 
 
-def _numbered(df: DataFrame, key: str) -> DataFrame:
-    return df.withColumn("__nth", F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0))))
+#: Into how many parts the rows of a key are dealt where they have to be counted off.
+PARTS = 64
 
 
 def semi_join_once(left: DataFrame, keys: DataFrame, left_key: str, key: str) -> DataFrame:
-    """Each entry of ``keys`` lets through one row of ``left`` with that key."""
-    side = _numbered(keys.select(F.col(key).alias("__key")), "__key").withColumnRenamed("__nth", "__other")
-    own = _numbered(left, left_key)
-    return own.join(side, (own[left_key] == F.col("__key")) & (F.col("__nth") == F.col("__other")), "left_semi").drop("__nth")
+    """Each entry of ``keys`` lets through one row of ``left`` with that key; null keys let through none.
+
+    Equal rows are counted before the shuffle, different rows of a key are
+    dealt over ``PARTS`` buckets by their hash, and running counts within and
+    over buckets tell which are let through: no key is one task's work.
+    """
+    columns = left.columns
+    own = left.where(F.col(left_key).isNotNull()).groupBy(*columns).agg(F.count("*").alias("__n")).withColumn("__hash", F.xxhash64(*columns))
+    own = own.withColumn("__bucket", F.pmod("__hash", F.lit(PARTS)))
+    quota = keys.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("__quota"))
+    buckets = own.groupBy(F.col(left_key).alias("__key"), F.col("__bucket").alias("__of")).agg(F.sum("__n").alias("__rows")).join(quota, "__key")
+    earlier = F.sum("__rows").over(Window.partitionBy("__key").orderBy("__of")) - F.col("__rows")
+    buckets = buckets.select("__key", "__of", (F.col("__quota") - earlier).alias("__left")).where("__left > 0")
+    within = Window.partitionBy(left_key, "__bucket").orderBy("__hash").rowsBetween(Window.unboundedPreceding, 0)
+    counted = own.withColumn("__before", F.sum("__n").over(within) - F.col("__n"))
+    met = counted.join(buckets, (F.col(left_key) == F.col("__key")) & (F.col("__bucket") == F.col("__of")))
+    taken = met.withColumn("__take", F.least("__n", F.col("__left") - F.col("__before"))).where("__take > 0")
+    return taken.withColumn("__turn", F.explode(F.sequence(F.lit(1).cast("long"), "__take"))).select(*columns)
 
 
 # ---- grouping ----
@@ -85,8 +99,13 @@ def group(df: DataFrame, keys: Sequence[str], *aggregates: Column) -> DataFrame:
 
 
 def append_group_avg(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
-    """The key's average on each row."""
-    return df.withColumn(name, F.avg(value).over(Window.partitionBy(key)))
+    """The key's average on each row; rows without a key are a group.
+
+    Averages are combined before their shuffle and joined back, by broadcast
+    where they are small; a key with very many rows is no single task's work.
+    """
+    usual = df.groupBy(F.col(key).alias("__key")).agg(F.avg(value).alias("__avg"))
+    return df.join(usual, F.col(key).eqNullSafe(F.col("__key"))).withColumn(name, F.col("__avg")).drop("__key", "__avg")
 
 
 def keys_with_several(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -146,7 +165,7 @@ def contiguous_slices(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
 
 
 def gather(df: DataFrame, n: int) -> DataFrame:
-    """n consumers, each of a run of producer partitions: no shuffle."""
+    """n consumers, each of whole producer partitions: no shuffle."""
     return df.coalesce(n)
 
 

@@ -33,6 +33,13 @@ def test_same_rows_as_sql(spark, duck, name):
     assert rows(got, columns) == rows(want, columns)
 
 
+@pytest.mark.parametrize("name", ["sort_one", "sort_two", "sort_length_first", "q1_like"])
+def test_same_order_as_sql(spark, duck, name):
+    want = duck.execute(catalogue.oracle_sql()[name])
+    columns = [c[0] for c in want.description]
+    assert [tuple(r) for r in catalogue.queries()[name](spark, FOLDER).select(*columns).collect()] == want.fetchall()
+
+
 def test_entry(spark):
     import __spark_entry__
 
