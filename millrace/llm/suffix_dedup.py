@@ -484,8 +484,8 @@ def _search(buckets: int):
 # ---- step 4: documents ----
 
 
-def _cut(key: tuple, docs: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
-    """n_removed, n_spans and the remaining bytes' digest of the documents of one bucket."""
+def _cut(docs: pd.DataFrame, lists: pd.DataFrame, bytes_too: bool) -> pd.DataFrame:
+    """The maximal removed runs of the documents of one bucket, the remaining bytes' digest and, if asked for, those bytes."""
     edges: dict[tuple, list] = {}
     for kind, rows in lists.groupby("kind"):
         doc, tag, a, *b = _together(rows["blob"])
@@ -501,19 +501,20 @@ def _cut(key: tuple, docs: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
         raw = t.encode("utf-8", "surrogatepass")
         n = len(raw)
         spans = edges.get((int(d), zlib.crc32(raw)))
-        kept, runs = raw, 0
+        kept, starts, ends = raw, [], []
         if spans:
             level = np.zeros(n + 1, np.int64)
             for lo, hi in spans:
                 np.add.at(level, lo, 1)
                 np.add.at(level, np.minimum(hi, n), -1)
             gone = np.cumsum(level[:-1]) > 0
-            runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+            turns = np.flatnonzero(np.diff(np.r_[False, gone, False]))
+            starts, ends = turns[::2], turns[1::2]
             kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-        out.append((d, n, n - len(kept), runs, hashlib.sha256(kept).hexdigest()))
+        out.append((d, n, starts, ends, hashlib.sha256(kept).hexdigest(), kept if bytes_too else None))
     del edges
     give_back()
-    return pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]).astype({"n_bytes": "int64", "n_removed": "int64", "n_spans": "int64"})
+    return pd.DataFrame(out, columns=["doc_id", "n_bytes", "starts", "ends", "kept_sha256", "kept"]).astype({"n_bytes": "int64"})
 
 
 ROW = "bin long, kind int, blob binary"
@@ -528,8 +529,13 @@ def _ids(lists: DataFrame) -> DataFrame:
     return settle(lists.groupBy("bin").applyInPandas(run, "doc_id long"), "suffix-ids")
 
 
-def dedup_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, a row per row of ``docs`` (doc_id, text)."""
+def removed_spans(docs: DataFrame, bytes_too: bool = False) -> DataFrame:
+    """doc_id, n_bytes, spans, kept_sha256, kept, a row per row of ``docs`` (doc_id, text).
+
+    spans are the maximal removed runs in order, as (start, end) in bytes, end
+    excluded; kept are the remaining bytes, null unless ``bytes_too``. They
+    are bytes because a run may begin or end inside a character.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     every = docs.select("doc_id", text.alias("text"))
     total = every.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -552,13 +558,29 @@ def dedup_spans(docs: DataFrame) -> DataFrame:
 
     spans = lists.where("kind = 0").union(more)
     ids = _ids(spans)
-    hit = of(ids).groupBy("bin").cogroup(spans.groupBy("bin")).applyInPandas(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    cut = of(ids).groupBy("bin").cogroup(spans.groupBy("bin")).applyInPandas(
+        lambda docs, lists: _cut(docs, lists, bytes_too), "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept_sha256 string, kept binary"
+    )
+    runs = F.zip_with("starts", "ends", lambda a, b: F.struct(a.alias("start"), b.alias("end")))
+    hit = cut.select("doc_id", "n_bytes", runs.alias("spans"), "kept_sha256", "kept")
     n = ids.count()
     rest = every.join(F.broadcast(ids) if n <= SMALL else ids, "doc_id", "left_anti")
-    none = F.lit(0).cast("long")
-    plain = rest.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2(F.encode("text", "utf-8"), 256).alias("kept_sha256"))
+    raw = F.encode("text", "utf-8")
+    plain = rest.select(
+        "doc_id",
+        F.octet_length("text").cast("long").alias("n_bytes"),
+        F.array().cast("array<struct<start:long,end:long>>").alias("spans"),
+        F.sha2(raw, 256).alias("kept_sha256"),
+        (raw if bytes_too else F.lit(None).cast("binary")).alias("kept"),
+    )
     return hit.union(plain)
 
 
+def dedup_spans(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, a row per row of ``docs`` (doc_id, text)."""
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return removed_spans(docs).select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return dedup_spans(table(spark, sf_dir, "documents"))

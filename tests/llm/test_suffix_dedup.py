@@ -105,3 +105,22 @@ def test_one_passage_in_a_third_of_the_documents(docs, monkeypatch):
         rows.append((rng.choice([k, 500 - k]), passage.join(own) if k % 3 == 0 else "".join(own)))
     got = sorted((str(r[0]), *r[1:]) for r in sd.dedup_spans(docs(rows)).collect())
     assert got == brute(rows)
+
+
+def test_spans_and_remaining_bytes(docs):
+    rng = random.Random(14)
+    word = lambda n: "".join(rng.choice("abcdéfghij ") for _ in range(n))
+    passages = [word(70), word(55), "é" * 40]
+    rows = [(k, word(20).join([word(30), *rng.sample(passages, 2), word(10)])) for k in range(12)] + [(20, None), (21, ""), (None, passages[0]), (22, word(80))]
+    text = {d: (t or "").encode() for d, t in rows}
+    got = sd.removed_spans(docs(rows), True).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        raw, at, left = text[r["doc_id"]], 0, b""
+        for a, b in r["spans"]:
+            assert (at < a or a == 0) and b - a >= 50  # maximal: runs neither touch nor overlap
+            left, at = left + raw[at:a], b
+        left += raw[at:]
+        assert (r["n_bytes"], bytes(r["kept"]), r["kept_sha256"]) == (len(raw), left, hashlib.sha256(left).hexdigest())
+    assert sum(len(r["spans"]) for r in got) > 12
+    assert all(r["kept"] is None for r in sd.removed_spans(docs(rows)).collect())
