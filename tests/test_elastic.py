@@ -2,9 +2,10 @@
 
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
-from millrace.elastic import model, plan
+from millrace.elastic import measure, model, plan, settings
 
 DAG = """
 Query 9
@@ -110,3 +111,23 @@ def test_placement_splits_what_does_not_fit():
 
 def test_apply_degree(spark):
     assert plan.apply_degree(spark.range(100), 7).rdd.getNumPartitions() == 7
+
+
+def test_settings():
+    text = "# slots\nnum_cpus 4\nproc_step algorithm\nalgorithm elastic\n\nmode cost \ndistribution 25 12 8\nbase_deg 6\nexternal Redis\nunknown 1\n"
+    got = settings.parse_settings(text)
+    assert got == settings.Settings(cpus=4, step="algorithm", algorithm="elastic", goal="cost", slots=[25, 12, 8], degree=6, storage="Redis")
+    assert settings.even_slots(got).slots == [15, 15, 15] and settings.even_slots(settings.Settings(slots=[7, 0, 1])).slots == [3, 3, 2]
+    assert settings.parse_settings("mode JCT").goal == "time" and settings.even_slots(settings.parse_settings("")).slots == []
+    for bad in ("mode fast", "external disk", "mode"):
+        with pytest.raises(ValueError):
+            settings.parse_settings(bad)
+
+
+def test_measured_profile_feeds_the_models(spark):
+    source = lambda: spark.range(20_000).selectExpr("id", "id % 7 as k")
+    got = measure.profile_stage(source, lambda df: df.groupBy("k").count(), [1, 2], 7, 1)
+    assert {(r["degree"], r["phase"]) for r in got.collect()} == {(d, p) for d in (1, 2) for p in ("pre", "read1", "compute", "write")}
+    assert got.where("ms < 0 or ms is null").count() == 0
+    fitted = model.coefficients(model.fit(got), 7)
+    assert set(fitted[1].a) == {"pre", "read1", "compute", "write"}
