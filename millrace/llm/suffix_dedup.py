@@ -25,7 +25,9 @@ that can matter are sorted:
    their smallest document; shards of the same grams are merged by binary
    search of their distinct strings. What is found in a context holds at all
    its places in its smallest document.
-4. Documents get their spans back, by buckets of documents.
+4. Documents get their spans back, by buckets of documents. A set of bits tells
+   which documents go there; the others stay where they are, and one that goes
+   for nothing comes back whole. No join moves texts.
 
 Gram and context hashes have 32 and 64 bits, on top of the bin; the spans of
 step 3 compare bytes. Groups are bins of about ``BIN_BYTES`` of text, whatever
@@ -40,15 +42,16 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import time
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, settle, table
+from .common import give_back, settle, small_batches, table
 
 SPAN = 50
 GRAM = 16
@@ -59,8 +62,9 @@ BATCH_BYTES = 512 << 10
 #: Anchors that a task holds before it combines and deals them (32 bytes each).
 HELD = 600_000
 SHARD_BYTES = 2 << 20
-#: Lists of ids up to this many rows (8 bytes each) are broadcast, longer ones are joined by shuffle.
-SMALL = 500_000
+#: Bits a document, and at most in all, of the set that tells which documents are sent to their buckets.
+SET_BITS = 8
+MOST_BITS = 1 << 30
 U = np.uint64
 PRIME = U(0x9E3779B97F4A7C15)
 
@@ -141,10 +145,11 @@ def pack(columns: list[np.ndarray]) -> bytes:
     return b"".join(out)
 
 
-def unpack(blob: bytes) -> list[np.ndarray]:
+def unpack(blob: bytes, most: int = 99) -> list[np.ndarray]:
+    """The arrays, or the first ``most`` of them."""
     n, k = np.frombuffer(blob[:16], np.int64).tolist()
     at, out = 16, []
-    for _ in range(k):
+    for _ in range(min(k, most)):
         size = int(np.frombuffer(blob[at : at + 8], np.int64)[0])
         kind = np.dtype(blob[at + 8 : at + 12].decode().strip())
         raw = blob[at + 12 : at + 12 + size]
@@ -396,7 +401,9 @@ def spans_of_contexts(context: list[bytes], doc: np.ndarray, shard_bytes: int =
         starts = np.cumsum(size) - size
         ends = np.repeat(starts + size, size)
         place, run, least = shard_strings(data, ends - np.arange(len(data)), doc[of])
-        made.append((data, of, np.repeat(starts, size), place, run, least))
+        # all shards are held until they are merged: four bytes a number, each is below the bytes of a shard or the contexts of a bin
+        made.append((data, of.astype(np.int32), np.repeat(starts.astype(np.int32), size), place.astype(np.int32), run.astype(np.int32), least))
+        del of, starts, ends, place, run, least
     if len(made) > 1:
         strings = []
         for data, _, _, place, run, _ in made:
@@ -452,12 +459,10 @@ def _search(buckets: int):
         half = SIDE // 2
         alone = np.ones(len(doc), bool)
         for shift in (-half, 0):
-            at = before[:, None] + shift + np.arange(GRAM + half)
-            ok = (at[:, 0] >= 0) & (at[:, -1] < size)
-            part = np.take_along_axis(rows, np.clip(at, 0, REACH - 1), axis=1)
-            h = gram.copy()
-            for k in range(part.shape[1]):
-                h = _mix(h * PRIME + part[:, k])
+            ok = (before + shift >= 0) & (before + shift + GRAM + half <= size)
+            every, h = np.arange(len(doc)), gram.copy()
+            for k in range(GRAM + half):
+                h = _mix(h * PRIME + rows[every, np.clip(before + shift + k, 0, REACH - 1)])
             h = np.where(ok, h, U(0))
             _, which, count = np.unique(h, return_inverse=True, return_counts=True)
             alone &= ~ok | (count[which] < 2)
@@ -520,13 +525,38 @@ def _cut(docs: pd.DataFrame, lists: pd.DataFrame, bytes_too: bool) -> pd.DataFra
 ROW = "bin long, kind int, blob binary"
 
 
-def _ids(lists: DataFrame) -> DataFrame:
-    """The documents that lists of buckets name, once each: all places of a document are in its bucket."""
+def _named(lists: DataFrame, bits: int) -> np.ndarray:
+    """A set of the documents that lists of buckets name, as ``bits`` bits by the hash of the id; others may seem to be in it."""
 
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"doc_id": np.unique(np.concatenate([np.unique(unpack(b)[0]) for b in df["blob"]]))})
+    def ids(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in parts:
+            yield pd.DataFrame({"bin": df["bin"], "ids": [pack([np.unique(unpack(b, 1)[0])]) for b in df["blob"]]})
+        give_back()
 
-    return settle(lists.groupBy("bin").applyInPandas(run, "doc_id long"), "suffix-ids")
+    def slots(df: pd.DataFrame) -> pd.DataFrame:
+        # all places of a document are in its bucket, so a document goes to the driver once
+        own = np.unique(np.concatenate([unpack(b)[0] for b in df["ids"]]))
+        return pd.DataFrame({"slots": [_bucket(own, bits).astype(np.uint32).tobytes()]})
+
+    out = np.zeros(bits >> 6, np.uint64)
+    with small_batches(lists.sparkSession):
+        found = lists.select("bin", "blob").mapInPandas(ids, "bin long, ids binary").groupBy("bin").applyInPandas(slots, "slots binary").collect()
+    for r in found:
+        slot = np.frombuffer(r["slots"], np.uint32)
+        np.bitwise_or.at(out, slot >> 6, U(1) << (slot & 63).astype(U))
+    return out
+
+
+def _released(df: DataFrame) -> DataFrame:
+    """``df``; shuffle files of what is written already go now, not when the driver's memory happens to run short.
+
+    The first collection only frees what still names them (measured: none gone
+    after it, all after the second).
+    """
+    for wait in (1, 0):
+        df.sparkSession._jvm.System.gc()
+        time.sleep(wait)
+    return df
 
 
 def removed_spans(docs: DataFrame, bytes_too: bool = False) -> DataFrame:
@@ -538,33 +568,42 @@ def removed_spans(docs: DataFrame, bytes_too: bool = False) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     every = docs.select("doc_id", text.alias("text"))
-    total = every.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total, n = every.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    bits = min(MOST_BITS, 1 << max(6, (SET_BITS * n).bit_length()))
     bins = max(1, -(-total // BIN_BYTES))
     named = every.where("doc_id is not null")
 
     found = named.mapInPandas(_anchor_rows(bins), ROW)
-    lists = settle(found.groupBy("bin").applyInPandas(_meet(bins), ROW), "suffix-lists")
+    lists = _released(settle(found.groupBy("bin").applyInPandas(_meet(bins), ROW), "suffix-lists"))
+
+    def of(names: DataFrame) -> Column:
+        """The bucket of a row whose document the lists may name, else -1: rows stay where they are until they go to their bucket."""
+        seen = named.sparkSession.sparkContext.broadcast(_named(names, bits))
+
+        def bucket(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            words = seen.value
+            for d in parts:
+                doc = d.to_numpy(np.int64)
+                slot = _bucket(doc, bits)
+                there = (words[slot >> 6] >> (slot & 63).astype(U) & U(1)).astype(bool)
+                yield pd.Series(np.where(there, _bucket(doc, bins), -1))
 
-    def of(ids: DataFrame) -> DataFrame:
-        """Rows of the documents in ids, with their bucket."""
-        n = ids.count()
-        own = named.join(F.broadcast(ids) if n <= SMALL else ids, "doc_id", "left_semi")
-        bucket = F.pandas_udf(lambda d: pd.Series(_bucket(d.to_numpy(np.int64), bins)), "long")
-        return own.withColumn("bin", bucket("doc_id"))
+        given = F.pandas_udf(bucket, "long")(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))
+        return F.when(F.col("doc_id").isNull(), -1).otherwise(given)
 
     going = lists.where("kind = 1")
-    contexts = of(_ids(going)).groupBy("bin").cogroup(going.groupBy("bin")).applyInPandas(lambda k, a, b: _contexts(k, a, b, bins), ROW)
-    more = settle(contexts.union(lists.where("kind = 3")).groupBy("bin").applyInPandas(_search(bins), ROW), "suffix-spans")
+    mine = named.withColumn("bin", of(going)).where("bin >= 0")
+    contexts = mine.groupBy("bin").cogroup(going.groupBy("bin")).applyInPandas(lambda k, a, b: _contexts(k, a, b, bins), ROW)
+    more = _released(settle(contexts.union(lists.where("kind = 3")).groupBy("bin").applyInPandas(_search(bins), ROW), "suffix-spans"))
 
     spans = lists.where("kind = 0").union(more)
-    ids = _ids(spans)
-    cut = of(ids).groupBy("bin").cogroup(spans.groupBy("bin")).applyInPandas(
+    told = of(spans)
+    cut = every.withColumn("bin", told).where("bin >= 0").groupBy("bin").cogroup(spans.groupBy("bin")).applyInPandas(
         lambda docs, lists: _cut(docs, lists, bytes_too), "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept_sha256 string, kept binary"
     )
     runs = F.zip_with("starts", "ends", lambda a, b: F.struct(a.alias("start"), b.alias("end")))
     hit = cut.select("doc_id", "n_bytes", runs.alias("spans"), "kept_sha256", "kept")
-    n = ids.count()
-    rest = every.join(F.broadcast(ids) if n <= SMALL else ids, "doc_id", "left_anti")
+    rest = every.withColumn("bin", told).where("bin < 0")
     raw = F.encode("text", "utf-8")
     plain = rest.select(
         "doc_id",

@@ -124,3 +124,16 @@ def test_spans_and_remaining_bytes(docs):
         assert (r["n_bytes"], bytes(r["kept"]), r["kept_sha256"]) == (len(raw), left, hashlib.sha256(left).hexdigest())
     assert sum(len(r["spans"]) for r in got) > 12
     assert all(r["kept"] is None for r in sd.removed_spans(docs(rows)).collect())
+
+
+def test_no_join_moves_texts(docs, monkeypatch):
+    monkeypatch.setattr(sd, "BIN_BYTES", 2000)
+    rng = random.Random(16)
+    word = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage = word(90)
+    rows = [(2**60 + k, passage.join([word(60), word(60)]) if k % 3 else word(150)) for k in range(40)] + [(None, passage), (-5, passage)]
+    for most in (64, 1 << 30):  # a set of so few bits also sends documents without spans
+        monkeypatch.setattr(sd, "MOST_BITS", most, raising=False)
+        out = sd.dedup_spans(docs(rows))
+        assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+        assert sorted((str(r[0]), *r[1:]) for r in out.collect()) == brute(rows)
