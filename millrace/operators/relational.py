@@ -60,12 +60,26 @@ def anti_join(left: DataFrame, keys: DataFrame, left_key: str, key: str) -> Data
 
 
 def inner_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_columns: Sequence[str], right_columns: Sequence[str]) -> DataFrame:
-    """m:n equi-join with a projection of either side before the shuffle."""
+    """m:n equi-join with a projection of either side before the shuffle.
+
+    Its rows may grow with the product of the sides, on few keys. Where a side
+    has at most ``SMALL_SIDE`` rows it goes to all tasks and the other is dealt
+    evenly, whatever its keys, so no key is one task's work; two larger sides
+    meet by the optimiser's choice, which splits skewed partitions.
+    """
     a = left.select(F.col(left_key).alias("__l"), *left_columns)
     b = right.select(F.col(right_key).alias("__r"), *right_columns)
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    small = lambda df: df.limit(SMALL_SIDE + 1).count() <= SMALL_SIDE
+    if small(a):
+        a, b = F.broadcast(a), b.repartition(n)
+    elif small(b):
+        a, b = a.repartition(n), F.broadcast(b)
     return a.join(b, F.col("__l") == F.col("__r")).drop("__l", "__r")
 
 
+#: Up to so many rows a side of an m:n join goes to all tasks.
+SMALL_SIDE = 100_000
 #: Into how many parts the rows of a key are dealt where they have to be counted off.
 PARTS = 64
 

@@ -182,3 +182,15 @@ def test_plans_push_down(spark):
     text = catalogue.queries()["filter_year"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(l_shipdate), GreaterThanOrEqual(l_shipdate" in text
     assert "l_comment" not in text and "l_extendedprice" not in text
+
+
+def test_many_to_many_join_deals_a_key_over_tasks(spark, monkeypatch):
+    left, right = spark.range(30).selectExpr("1 as k", "id as a").coalesce(1), spark.range(400).selectExpr("1 as k", "id as b").coalesce(1)
+    for most in (100, 20):  # the left side goes to all tasks; neither does
+        monkeypatch.setattr(ops, "SMALL_SIDE", most, raising=False)
+        for one, other, x, y in ((left, right, "a", "b"), (right, left, "b", "a")):
+            got = ops.inner_join(one, other, "k", "k", [x], [y])
+            assert got.columns == [x, y] and got.count() == got.distinct().count() == 12_000
+            if most == 100:
+                tasks = got.groupBy(F.spark_partition_id()).count().collect()
+                assert len(tasks) > 1 and max(r["count"] for r in tasks) < 12_000
