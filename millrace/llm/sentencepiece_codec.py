@@ -12,6 +12,7 @@ No piece has a space mark after another character, hence no merge crosses
 such a place, nor a character that occurs in no piece of several characters:
 texts are cut there, and cuts that recur are encoded once, and their ids
 decoded once (a cache of bounded bytes, given up at the end of a task's rows).
+Which pairs of pieces are compatible is remembered for the worker's next tasks.
 Decoding works from the ids alone.
 
 Only the model file is read, with a small parser of its own; no library
@@ -43,9 +44,9 @@ from .common import give_back, spread, table
 
 MARK = "▁"  # stands for a space
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Bytes of remembered cuts and number of remembered pairs, of each worker.
+#: Bytes of remembered cuts and number of remembered pairs (about 100 bytes each), of each worker.
 CACHE = 64 << 20
-PAIRS = 150_000
+PAIRS = 400_000
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
@@ -200,6 +201,7 @@ class Codec:
         if n and longest[0] >= 0 and length[longest[0]] == n:
             return [longest[0]]
         dead = bytearray(n // 8 + 1)  # bits of positions from which no encoding exists
+        some = False  # whether any is set
         out: list[int] = []
         at = 0
         nxt = longest[0] if n else -1
@@ -212,7 +214,7 @@ class Codec:
             last = out[-1] if out else -1
             while nxt >= 0:
                 end = at + length[nxt]
-                if not dead[end >> 3] >> (end & 7) & 1:
+                if not some or not dead[end >> 3] >> (end & 7) & 1:
                     if last < 0:
                         break
                     ok = known.get(last << 32 | nxt)
@@ -227,6 +229,7 @@ class Codec:
                 nxt = longest[at] if at < n else -1
                 continue
             dead[at >> 3] |= 1 << (at & 7)
+            some = True
             if not out:
                 raise ValueError("the model has no encoding of a text of its own characters")
             back = out.pop()
@@ -293,9 +296,8 @@ class Codec:
         return "".join([text for _, _, text in got])[1 if lead else 0 :]
 
     def forget(self) -> None:
-        """Give up what is remembered of texts."""
+        """Give up what is remembered of texts; pairs tell of the model alone and stay, up to ``PAIRS``."""
         self.cuts.forget()
-        self.pairs.clear()
 
 
 def _bytes_text(raw: bytes) -> str:

@@ -58,3 +58,16 @@ def test_columns(pair, odd, none):
     assert sc.round_trip(none, PATH).count() == 0
     assert sc.round_trip(odd, PATH).count() == odd.count()
     assert odd.select(sc.encoded(F.col("text"), PATH).alias("e")).where("not e.exact").count() == 0
+
+
+def test_pairs_stay_for_the_next_task(pair, monkeypatch):
+    with open(PATH, "rb") as f:
+        own = sc.Codec(f.read())
+    t = "compatibility of neighbouring pieces xqzv 38271 unforgettably"
+    assert own.encode(t) == pair[1].encode(t)
+    known = dict(own.pairs)
+    own.forget()
+    assert known and own.pairs == known and not own.cuts
+    monkeypatch.setattr(sc, "PAIRS", 2)  # bounded all the same
+    assert own.encode(t) == pair[1].encode(t) and own.encode("zxqj wvkpq 90817") == pair[1].encode("zxqj wvkpq 90817")
+    assert len(own.pairs) <= 2 or own.pairs == known
